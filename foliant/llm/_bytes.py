@@ -11,6 +11,8 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _TABLE = np.random.default_rng(20260105).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: The most rows in a slice.
+_MOST = 60_000
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 #: Words are maximal runs of bytes other than the six white-space characters of ASCII.
@@ -55,7 +57,7 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int) -> Iterator
         i = 0
         while i < len(sizes):
             before = ends[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(ends, before + limit, "right")))
+            j = min(max(i + 1, int(np.searchsorted(ends, before + limit, "right"))), i + _MOST)
             yield batch.slice(i, j - i)
             i = j
 
@@ -63,15 +65,16 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int) -> Iterator
 def gathered(batches: Iterable[pa.RecordBatch], name: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Like slices(), but small batches are first put together."""
     kept: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for b in slices(batches, name, limit):
         n = int(buffers(b.column(name))[0][-1])
-        if kept and size + n > limit:
+        if kept and (size + n > limit or rows + b.num_rows > _MOST):
             yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            kept, size = [], 0
+            kept, size, rows = [], 0, 0
         if b.num_rows:
             kept.append(b)
             size += n
+            rows += b.num_rows
     if kept:
         yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 

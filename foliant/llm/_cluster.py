@@ -57,3 +57,8 @@ def blocks_for(total_bytes: int, block_bytes: int) -> int:
 def text_bytes(docs: DataFrame, name: str = "text") -> int:
     """Bytes of a text column, in one column-pruned scan."""
     return docs.agg(F.sum(F.octet_length(F.coalesce(column(docs, name), F.lit(""))))).first()[0] or 0
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers in batches that fit a small executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

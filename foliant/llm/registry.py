@@ -1,11 +1,14 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from foliant.llm import quality
+from foliant.llm import decontaminate, neardup, quality
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.SQL,
+    "op4_decontaminate": decontaminate.SQL,
 }
