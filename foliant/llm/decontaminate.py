@@ -83,13 +83,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found_sql(documents: str) -> str:
     """A WITH list that ends in found: (doc_id, item_id, n_shingles, n_shared) over the relation named."""
     words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-    grams = "SELECT DISTINCT {id}, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS s FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 4)) AS i FROM (SELECT {id}, " + words + " AS w FROM {rel}) WHERE len(w) >= 5)"
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(SHINGLE))
+
+    def grams(key: str, rel: str) -> str:
+        return f"SELECT DISTINCT {key}, {gram} AS s FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS i FROM (SELECT {key}, {words} AS w FROM {rel}) WHERE len(w) >= {SHINGLE})"
+
     return f"""
-of_docs AS ({grams.format(id="doc_id", rel=documents)}),
-of_items AS ({grams.format(id="item_id", rel="benchmark")}),
+of_docs AS ({grams("doc_id", documents)}),
+of_items AS ({grams("item_id", "benchmark")}),
 item_sizes AS (SELECT item_id, count(*) AS n_shingles FROM of_items GROUP BY item_id),
 found AS (SELECT doc_id, item_id, n_shingles, count(*) AS n_shared FROM of_docs JOIN of_items USING (s) JOIN item_sizes USING (item_id)
-          GROUP BY ALL HAVING count(*) >= 0.8 * n_shingles)"""
+          GROUP BY ALL HAVING count(*) / n_shingles >= {CONTAINMENT})"""
 
 
 SQL = f"WITH {found_sql('documents')} SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM found"

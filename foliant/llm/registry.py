@@ -1,11 +1,14 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from foliant.llm import decontaminate, neardup, quality
+from foliant.llm import bestfit, decontaminate, matrices, neardup, quality, suffixes
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
+    "op7_token_matrices": matrices.op7_token_matrices,
+    "op8_best_fit": bestfit.op8_best_fit,
 }
 
 ORACLE_SQL = {
