@@ -58,13 +58,14 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     size = items.agg(F.sum(F.size("sketch"))).first()[0] or 0
     small = F.broadcast if size <= MAX_BROADCAST_HASHES else lambda df: df
     keys = small(items.select("item_id", "n_shingles", F.size("sketch").alias("k"), F.explode("sketch").alias("h")))
-    texts = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
-    found = texts.select("doc_id", F.explode(_hashes(_words(F.col("text")))).alias("h")).join(keys, "h")
+    # words are a column of their own: within a lambda, an expression would be evaluated again for each element
+    texts = docs.select(column(docs, "doc_id").alias("doc_id"), _words(column(docs, "text")).alias("words"))
+    found = texts.select("doc_id", F.explode(_hashes(F.col("words"))).alias("h")).join(keys, "h")
     missed = F.floor(F.lit(1 - CONTAINMENT + 1e-9) * F.col("n_shingles"))
     found = found.groupBy("doc_id", "item_id", "n_shingles", "k").agg(F.count_distinct("h").alias("hits") if size > MAX_BROADCAST_HASHES else F.count("*").alias("hits"))
     found = found.where(F.col("hits") >= F.col("k") - missed).groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("null_id"))
     ids = F.when(F.col("null_id"), F.array_append("ids", F.lit(None))).otherwise(F.col("ids"))
-    pairs = texts.join(found, F.col("doc_id").eqNullSafe(F.col("found_id"))).select("doc_id", _strings(_words(F.col("text"))).alias("of_doc"), F.explode(ids).alias("maybe"))
+    pairs = texts.join(found, F.col("doc_id").eqNullSafe(F.col("found_id"))).select("doc_id", _strings(F.col("words")).alias("of_doc"), F.explode(ids).alias("maybe"))
     shared = pairs.join(small(items), F.col("maybe").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", "n_shingles", F.size(F.array_intersect("shingles", "of_doc")).cast("long").alias("n_shared"))
     best = shared.groupBy("doc_id", "item_id").agg(F.max_by("n_shingles", F.col("n_shared") / F.col("n_shingles")).alias("n_shingles"), F.max_by("n_shared", F.col("n_shared") / F.col("n_shingles")).alias("n_shared"))
     return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.lit(CONTAINMENT - 1e-9) * F.col("n_shingles"))
