@@ -1,11 +1,12 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from foliant.llm import bestfit, decontaminate, matrices, neardup, quality, suffixes
+from foliant.llm import bestfit, decontaminate, matrices, neardup, quality, suffixes, warc
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_warc": warc.op5_warc,
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_token_matrices": matrices.op7_token_matrices,
     "op8_best_fit": bestfit.op8_best_fit,
@@ -14,4 +15,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op5_warc": warc.SQL,
 }
