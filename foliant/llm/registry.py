@@ -1,8 +1,9 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from foliant.llm import bestfit, decontaminate, matrices, neardup, quality, suffixes, warc
+from foliant.llm import bestfit, decontaminate, matrices, neardup, quality, suffixes, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_decontaminate": decontaminate.op4_decontaminate,
