@@ -17,11 +17,13 @@ an empty table gives an empty result; other columns, whatever their names, are n
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ STRETCHES = (1, 4, 16)
 STRONG = 2.0
 TOXIC = 0.7
 _SLICE = 2_000_000
+_PART = 4_000_000
 _START = B.U(0x5BD1E9955BD1E995)
 
 #: Letters, digits and everything beyond ASCII make words.
@@ -115,7 +118,18 @@ class Models:
             mass[:, c] = (counts[:, c] - d) / np.maximum(of_u[ui], 1)
         keys = _key(u, w)
         order = np.argsort(keys)
-        return cls(keys[order], mass[order], contexts, backoff, words, lower, unseen)
+        small = np.float32
+        return cls(keys[order], mass[order].astype(small), contexts, backoff.astype(small), words, lower.astype(small), unseen.astype(small))
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{f.name: getattr(self, f.name) for f in fields(self)})
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Models:
+        with np.load(io.BytesIO(data)) as found:
+            return cls(**{f.name: found[f.name] for f in fields(cls)})
 
     def evidence(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(w | u), and log P(w) of the lower order, of class 1 less those of class 0."""
@@ -186,18 +200,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 @dataclass
 class Classifier:
-    """Models, calibration weights, and the score of all texts where a class had no rows."""
+    """Broadcast models (packed), calibration weights, and the score of all texts where a class had no rows."""
 
-    models: Models | None
+    models: Broadcast | None
     weights: np.ndarray | None
     share: float
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        if self.models is None:
-            return np.full(len(texts), self.share)
-        x = self.models.features(texts)
-        z = np.hstack([x, np.ones((len(x), 1))]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+def _chance(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    z = np.hstack([x, np.ones((len(x), 1))]) @ weights
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +222,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n[0]), pa.array(n[1])], ["u", "w", "n0", "n1"])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The models of all bigram counts, packed, in numbered parts."""
+    got = pa.Table.from_batches(batches).combine_chunks()
+    column = lambda name: got[name].to_numpy()
+    counts = np.stack([column("n0"), column("n1")], axis=1)
+    data = Models.of(column("u").view(B.U), column("w").view(B.U), counts).packed()
+    for part, at in enumerate(range(0, len(data), _PART)):
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data[at : at + _PART]], pa.binary())], ["part", "data"])
+
+
+def _featured(models: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Models.unpacked(models.value)
+        for b in B.gathered(batches, "text", _SLICE):
+            x = found.features(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -224,31 +256,35 @@ def fitted(docs: DataFrame, labels: DataFrame, seen: Column | None = None) -> Cl
     rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES).join(marks, "doc_id")
     ranked = rows.select("toxic", F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
     parts = [ranked.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(SAMPLE) for c in (0, 1)]
-    sample, _ = cut(parts[0].unionByName(parts[1]).repartition(8), "labelled-sample")
+    sample, _ = cut(parts[0].unionByName(parts[1]).repartition(8, "h"), "labelled-sample")
     part = F.pmod(F.xxhash64(F.lit("part"), "h"), F.lit(CALIBRATE)) == 0
     shares = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    counted = sample.where(~part).mapInArrow(_counted, "u long, w long, n0 long, n1 long").groupBy("u", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    counts = counted[["n0", "n1"]].to_numpy(np.int64)
-    check = sample.where(part).select("text", "toxic").toPandas()
     share = shares.get(1, 0) / max(sum(shares.values()), 1)
-    if not counts.sum(axis=0).all() or check["toxic"].nunique() < 2:
+    learned = sample.where(~part).groupBy("toxic").count().count()
+    check = sample.where(part).select("text", "toxic")
+    if learned < 2 or check.select("toxic").distinct().count() < 2:
         return Classifier(None, None, share)
-    models = Models.of(counted["u"].to_numpy().view(B.U), counted["w"].to_numpy().view(B.U), counts)
-    y = check["toxic"].to_numpy(float)
-    x = models.features(pa.array(check["text"], pa.string()))
-    return Classifier(models, _logistic(x, y), share)
+    # the sample is bounded, so one task holds its counts; the driver gets the packed models only
+    counted = sample.where(~part).mapInArrow(_counted, "u long, w long, n0 long, n1 long").groupBy("u", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    models, _ = cut(counted.repartition(1).mapInArrow(_fit, "part int, data binary"), "toxicity-models")
+    shared = spark.sparkContext.broadcast(b"".join(bytes(r["data"]) for r in models.orderBy("part").collect()))
+    found = check.mapInArrow(_featured(shared), "toxic int, x array<double>").collect()
+    x, y = np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float)
+    return Classifier(shared, _logistic(x, y), share)
 
 
 def scored(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """(doc_id, score) for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(classifier)
+    models, weights, share = classifier.models, classifier.weights, classifier.share
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Models.unpacked(models.value) if models is not None else None
         for b in B.gathered(batches, "text", _SLICE):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.scores(b.column("text")))], ["doc_id", "score"])
+            p = _chance(found.features(b.column("text")), weights) if found is not None else np.full(b.num_rows, share)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
