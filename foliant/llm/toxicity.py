@@ -253,10 +253,13 @@ def fitted(docs: DataFrame, labels: DataFrame, seen: Column | None = None) -> Cl
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), F.coalesce(column(docs, "text"), F.lit("")).alias("text"))
     rows = rows.where(seen if seen is not None else F.lit(True))
     marks = labels.select(column(labels, "doc_id").alias("doc_id"), column(labels, "toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL").distinct()
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES).join(marks, "doc_id")
-    ranked = rows.select("toxic", F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
+    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
+    # the sample is chosen by hashes, so only its own texts move
+    ranked = rows.select("doc_id", "h").join(marks, "doc_id").distinct()
     parts = [ranked.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(SAMPLE) for c in (0, 1)]
-    sample, _ = cut(parts[0].unionByName(parts[1]).repartition(8, "h"), "labelled-sample")
+    chosen, _ = cut(parts[0].unionByName(parts[1]), "chosen-labels")
+    found = rows.join(F.broadcast(chosen), ["doc_id", "h"]).select("toxic", "h", "doc_id", "text").dropDuplicates(["toxic", "h", "doc_id"])
+    sample, _ = cut(found, "labelled-sample")
     part = F.pmod(F.xxhash64(F.lit("part"), "h"), F.lit(CALIBRATE)) == 0
     shares = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = shares.get(1, 0) / max(sum(shares.values()), 1)
