@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from foliant.llm import bestfit, decontaminate, extract, matrices, neardup, quality, suffixes, toxicity, warc
+from foliant.llm import bestfit, decontaminate, extract, katz, matrices, neardup, quality, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_token_matrices": matrices.op7_token_matrices,
     "op8_best_fit": bestfit.op8_best_fit,
+    "op9_katz": katz.op9_katz,
     "op10_extract": extract.op10_extract,
 }
 
