@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,10 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # plans hold others, which go with the next collection
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def column(df: DataFrame, name: str):
