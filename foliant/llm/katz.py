@@ -390,6 +390,7 @@ def scored(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc
     # fewer than parts + 1 words can have more than a part's share of all tokens
     limit = sums["n_train"] // parts
     hot = np.array(sorted(r["id"] for r in words.select("part", "n").mapInArrow(_hot(limit, offsets), "id long").collect()), np.int64)
+    drop(spark, words_at)
     whole = tokens.select("block", "doc_ids", "held", "lengths", "codes").join(_replies(replies, "words_got", "n", "ids"), "block")
     asks = whole.drop("doc_ids").mapInArrow(_bigram_asks(hot, parts), "part int, block long, u binary, w binary, wn binary, n binary")
     bigrams, bigrams_at = cut(asks.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_merged_bigrams, _MERGED.format(keys="u binary, w binary, wn binary")), "lm-bigrams")
@@ -404,7 +405,7 @@ def scored(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc
         _scores(hot, parts, d, unigrams, known, sums["train_docs"]), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     out, _ = cut(out, "lm-scores")
-    drop(spark, tokens_at, words_at, replies_at, bigrams_at)
+    drop(spark, tokens_at, replies_at, bigrams_at)
     release(spark)
     return out
 
