@@ -129,7 +129,9 @@ def rated(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with docs' own columns."""
     given = docs.withColumn("_row", F.struct(*[column(docs, c) for c in docs.columns])).select("_row", column(docs, text).alias("text"))
-    return rated(given, rules).where("kept").select("_row.*")
+    # a filter on kept would be pushed below the measures, and carry a copy of them for each time it names one
+    row = F.explode_outer(F.when(F.col("kept"), F.array("_row")))
+    return rated(given, rules).select(row.alias("_row")).where("_row IS NOT NULL").select("_row.*")
 
 
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
