@@ -13,7 +13,7 @@ slots that its wrapper calls neither template nor menu.
 
 Defined results: null and empty pages have an empty text; a page with a null or odd URL belongs to the host "";
 repeated rows are extracted each and count once as evidence of a template; unclosed and stray tags close where their
-parents do; an empty table gives an empty result; other columns, whatever their names, are not read.
+parents do; neighbours of one shape without names share a slot, which is then no template; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
