@@ -54,6 +54,25 @@ def test_near_duplicates(docs, empty):
     assert neardup.grouped(empty).count() == 0
 
 
+def test_near_duplicates_of_a_hub(spark):
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 151):
+        edited = list(base)
+        for q in range(4):
+            edited[50 * q + rng.randrange(5, 45)] = f"e{i}x{q}"
+        rows.append((i, " ".join(edited)))
+    split = [t.split() for _, t in rows]
+    bags = [{tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for ws in split]
+    alike = lambda x, y: len(x & y) / len(x | y) >= neardup.SIMILARITY
+    assert all(alike(bags[0], x) for x in bags[1:]) and sum(alike(x, y) for i, x in enumerate(bags[1:]) for y in bags[1 : i + 1]) < 150
+    # so many other texts that no shingle is common
+    rows += [(1000 + i, f"other text {i}") for i in range(3500)]
+    got = {r.doc_id: r.class_id for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(151)} == {0} and all(got[i] == i for i, _ in rows[151:])
+
+
 def removed(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
