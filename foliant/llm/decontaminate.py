@@ -8,8 +8,8 @@ holds one of the sketch: the search loses nothing. Candidates are then verified
 Words are maximal runs of letters and digits of the lower-cased text.
 
 Defined results: texts (or items) that are null or have fewer than five words have no shingles and match
-nothing; a null id is an id like any other; rows that repeat an id are joined as one document, whose best
-containment counts; empty tables give an empty result; other columns, whatever their names, are not read.
+nothing; a null id is an id like any other; contained() joins rows that repeat an id as one document, whose best
+containment counts, and clean() judges each row by its own text; empty tables give an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -72,9 +72,10 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with docs' own columns."""
-    held = contained(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, column(docs, "doc_id").eqNullSafe(F.col("_held")), "left_anti")
+    """The rows of docs that hold no item, with docs' own columns. Rows are judged by their own texts, whatever their ids."""
+    digest = F.md5(F.coalesce(column(docs, "text"), F.lit("")))
+    held = contained(docs.select(digest.alias("doc_id"), column(docs, "text").alias("text")), benchmark).select(F.col("doc_id").alias("_held")).distinct()
+    return docs.join(held, digest == F.col("_held"), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

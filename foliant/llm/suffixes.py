@@ -18,7 +18,8 @@ A block sends a string or neighbourhood once, so no key has more rows than there
 documents share a passage. A q-gram with several neighbourhoods in one block is spread by neighbourhood.
 
 Defined results: a null text has no bytes; texts of fewer than 100 bytes stay whole; a null doc_id comes before all
-others; rows that repeat a doc_id are taken as one document, so that exact repeats of a row don't remove each other;
+others; rows that repeat both doc_id and text are taken as one document, so that exact repeats of a row don't remove each other;
+different texts with one doc_id (null included) are documents of their own, in the order of their digests;
 an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
@@ -327,10 +328,25 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         yield b, found
 
 
+def _told_apart(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs with _doc, an integer for each pair of doc_id and text, in the order of doc_id."""
+    digest = F.unhex(F.md5(F.coalesce(column(docs, text), F.lit(""))))
+    ids = docs.select(F.coalesce(column(docs, doc_id), F.lit(NULL_ID)).alias("_id"), digest.alias("_digest"))
+    several = ids.groupBy("_id").agg((F.min("_digest") != F.max("_digest")).alias("several")).where("several")
+    if several.isEmpty():
+        return docs.withColumn("_doc", F.coalesce(column(docs, doc_id), F.lit(NULL_ID)))
+    # ranges of ids are numbered in order
+    order = ids.distinct().repartitionByRange("_id", "_digest").sortWithinPartitions("_id", "_digest")
+    order, _ = cut(order.withColumn("_doc", F.monotonically_increasing_id()), "row-ids")
+    rows = docs.withColumns({"_id": F.coalesce(column(docs, doc_id), F.lit(NULL_ID)), "_digest": digest}).join(order, ["_id", "_digest"])
+    return cut(rows.drop("_id", "_digest"), "rows")[0]
+
+
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte ranges starts and ends."""
-    rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"), F.coalesce(column(docs, doc_id), F.lit(NULL_ID)).alias("doc"))
-    rows = rows.join(repeats(docs, text, doc_id), "doc", "left").select("doc_id", "text", "ats")
+    told = _told_apart(docs, text, doc_id)
+    rows = told.select(column(told, doc_id).alias("doc_id"), column(told, text).alias("text"), F.col("_doc").alias("doc"))
+    rows = rows.join(repeats(told, text, "_doc"), "doc", "left").select("doc_id", "text", "ats")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, each in _each(batches):
@@ -346,8 +362,9 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with the repeated bytes removed from their texts; parts of characters left over at a cut are dropped too."""
-    found = repeats(docs, text, doc_id).select(F.col("doc").alias("_doc"), F.col("ats").alias("_ats"))
-    rows = docs.join(found, F.coalesce(column(docs, doc_id), F.lit(NULL_ID)) == F.col("_doc"), "left")
+    told = _told_apart(docs, text, doc_id)
+    found = repeats(told, text, "_doc").select(F.col("doc").alias("_doc"), F.col("ats").alias("_ats"))
+    rows = told.join(found, "_doc", "left")
     given = [column(rows, c) for c in docs.columns if c != text]
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,6 +102,22 @@ def test_containment(spark, docs, empty):
     assert decontaminate.contained(empty, items).count() == 0
 
 
+def test_rows_are_told_apart_by_more_than_their_id(spark):
+    rng = random.Random(8)
+    held, shared = words(rng, 30, 10**6), words(rng, 60, 10**6)
+    group = words(rng, 200, 10**6)
+    own = [words(rng, 40, 10**6) for _ in range(3)]
+    rows = [(None, held), (None, own[0] + " " + shared), (None, own[1] + " " + shared), (7, own[2]), (7, held), (None, group), (None, group + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, held)], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.clean(docs, items).collect()) == sorted(t for _, t in rows if t != held)
+    kept = [r.text for r in neardup.representatives(docs.where("doc_id IS NULL")).collect()]
+    assert len(kept) == 4 and sum(t.startswith(group) for t in kept) == 1
+    two = spark.createDataFrame([rows[1], rows[2], rows[3]], "doc_id long, text string")
+    got = [r.text for r in suffixes.deduplicated(two).collect()]
+    assert own[2] in got and sum(shared in t for t in got) == 1 and all(sum(t.startswith(o) for t in got) == 1 for o in own)
+
+
 def test_packing(docs, empty):
     rows = bestfit.packed(docs).collect()
     by = {}
