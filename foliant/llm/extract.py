@@ -213,6 +213,11 @@ def _merged_slot(a: list | None, b: list | None) -> list | None:
     return [a[0] + b[0], a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], b[4] if a[4] is None else a[4], a[5] + b[5]]
 
 
+def _same_page(a: list | None, b: list | None) -> list | None:
+    """A slot of two blocks of one page."""
+    return [max(a[0], b[0]), *_merged_slot(a, b)[1:]] if a and b else a or b
+
+
 def folded(nodes: list[list], longest: int = 24) -> list[list]:
     """nodes, with elements that follow one another and agree put into one repeated group."""
     # elements (an opening tag to its close) of one level are compared, innermost first
@@ -236,7 +241,7 @@ def folded(nodes: list[list], longest: int = 24) -> list[list]:
             left = out[before] if start - before == 1 and out[before][4] is not None else None
             body = left[4] if left is not None else out[before:start]
             if len(body) == len(element) and all(_key(x) == _key(y) for x, y in zip(body, element, strict=True)):
-                group = [[x[0], max(x[1], y[1]), x[2], _merged_slot(x[3], y[3]), x[4]] for x, y in zip(body, element, strict=True)]
+                group = [[x[0], max(x[1], y[1]), x[2], _same_page(x[3], y[3]), x[4]] for x, y in zip(body, element, strict=True)]
                 del out[before:]
                 out.append(["()", 0, 1, None, group])
                 ends = {len(out): before} | {k: v for k, v in ends.items() if k <= before}
@@ -354,7 +359,7 @@ def host(url: Column) -> Column:
 
 @dataclass
 class _Hosts:
-    """Wrappers that grow page by page, and what pages they have seen."""
+    """Wrappers that grow page by page."""
 
     of: dict[str, list[list]] = field(default_factory=dict)
 
@@ -364,13 +369,10 @@ class _Hosts:
 
 
 def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pages: a wrapper for each host of the task."""
-    hosts, seen = _Hosts(), set()
+    """Of distinct pages: a wrapper for each host of the task."""
+    hosts = _Hosts()
     for b in batches:
         for name, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            if not page or (mark := (name, zlib.crc32(page.encode()), len(page))) in seen:
-                continue
-            seen.add(mark)
             found, stream = blocks(page)
             hosts.add(name, folded(_streamed(stream, found)))
     yield from _wrappers(hosts)
@@ -393,7 +395,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wrappers(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """(host, wrapper): each host's wrapper as JSON."""
     small_batches(pages.sparkSession, 200)
-    rows = pages.select(host(column(pages, url)).alias("host"), column(pages, page).alias("html"))
+    rows = pages.select(host(column(pages, url)).alias("host"), column(pages, page).alias("html")).where(F.length("html") > 0)
+    # copies of a page are one page, wherever they lie
+    rows = rows.groupBy("host", F.md5("html").alias("mark")).agg(F.first("html").alias("html")).select("host", "html")
     parts = rows.mapInArrow(_inferred, "host string, wrapper string")
     order = F.xxhash64("wrapper")
     # a host's wrappers meet in parts first

@@ -191,6 +191,13 @@ def test_extraction(spark):
     assert "(<p>#</p>)+" in extract.expression(w).replace("</p>", "</p>").replace("<//p>", "</p>")
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    page = "<div><h2>Title</h2></div><section>main text</section>" + "<p>again</p>" * 6
+    rows = [(i, "http://h/", page) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    assert {r.text for r in extract.extracted(pages).collect()} == {"Title main text" + " again" * 6}
+
+
 def test_katz_is_normalised_and_exact(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.where("doc_id IS NOT NULL").distinct().collect()]
     held = {2, 4, 8}
