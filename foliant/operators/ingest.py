@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliant.config import DEFAULT
 from foliant.functions import text as T
 
-_SENTENCE = regex.compile(r"(?<=[.!?…])\s+")
+SENTENCE = regex.compile(r"(?<=[.!?…])\s+")
 
 
 def content_hash(docs: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def sentence_chunks(text: str | None, max_words: int = DEFAULT.max_words, overla
     def emit() -> None:
         out.append((" ".join(held), at, at + len(held) - 1))
 
-    for sentence in _SENTENCE.split((text or "").strip()):
+    for sentence in SENTENCE.split((text or "").strip()):
         ws = sentence.split()
         if not ws:
             continue

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,21 +25,29 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def scored(postings: DataFrame, lengths: DataFrame, bag: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of postings (chunk_id, dl, term, tf) for query terms (query_id, term, times); scores are positive, rounded to 6 places.
+
+    lengths (chunk_id, dl) has every chunk. The terms' weights are broadcast, if they are as few as queries have.
+    """
+    sizes = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    hits = postings.join(bag.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = bag.join(df, "term").join(F.broadcast(sizes)).select("query_id", "term", "avgdl", (F.col("times") * F.when(idf > 0, idf).otherwise(DEFAULT.least_idf)).alias("weight"))
+    gain = F.col("tf") * (DEFAULT.k1 + 1) / (F.col("tf") + DEFAULT.k1 * (1 - DEFAULT.b + DEFAULT.b * F.col("dl") / F.col("avgdl")))
+    return hits.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * gain), 6).alias("score"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, chunk_id, score) for queries (query_id, query); scores are positive, rounded to 6 places."""
+    """(query_id, rank, chunk_id, score) for queries (query_id, query), of chunks (chunk_id, text) without a stored index."""
     bag = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     terms = chunks.select("chunk_id", T.index_terms(F.col("text")).alias("terms"))
-    sizes = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
-    n_docs, avgdl = sizes["n"], sizes["avgdl"] or 1.0
+    lengths = terms.select("chunk_id", F.size("terms").alias("dl"))
     # only the queries' terms are counted
-    hits = terms.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(bag.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = bag.join(df, "term").select("query_id", "term", (F.col("times") * F.when(idf > 0, idf).otherwise(DEFAULT.least_idf)).alias("weight"))
-    gain = F.col("tf") * (DEFAULT.k1 + 1) / (F.col("tf") + DEFAULT.k1 * (1 - DEFAULT.b + DEFAULT.b * F.col("dl") / F.lit(float(avgdl))))
-    scores = tf.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * gain), 6).alias("score"))
-    return ranked(scores, k).select("query_id", "rank", "chunk_id", "score")
+    words = terms.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(bag.select("term").distinct(), "term", "left_semi")
+    tf = words.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return ranked(scored(tf, lengths, bag), k).select("query_id", "rank", "chunk_id", "score")
 
 
 def norm(v: Column) -> Column:
@@ -105,3 +117,62 @@ def packed_context(hits: DataFrame, budget: int = DEFAULT.char_budget, least: in
     size = F.col("room") - F.length("header") - 4
     cut = F.concat(F.lit("["), "header", F.lit("]\n"), F.substring(F.col("t"), F.lit(1), F.greatest(size, F.lit(0)).cast("int")), F.lit("…"))
     return df.select("query_id", "pos", F.when(F.col("over"), cut).otherwise(F.col("block")).alias("block"))
+
+
+def on_document(hits: DataFrame, chunks: DataFrame, filters: DataFrame, k: int) -> DataFrame:
+    """hits ranked to 3k, then only those of the document that a query is held to (filters: query_id, document_id); others keep k."""
+    held = hits.join(filters, "query_id", "left").join(chunks.select("chunk_id", F.col("document_id").alias("its")), "chunk_id")
+    kept = held.where(F.when(F.col("document_id").isNull(), F.col("rank") <= k).otherwise((F.col("rank") <= 3 * k) & (F.col("its") == F.col("document_id"))))
+    return kept.select("query_id", "rank", "chunk_id", "score")
+
+
+def coverage(query: Column, text: Column) -> Column:
+    """The share of a query's distinct terms that a text has: the built-in reranker's score."""
+    asked = F.array_distinct(T.query_terms(query))
+    found = F.size(F.array_intersect(asked, T.index_terms(text)))
+    return F.when(F.size(asked) > 0, F.round(found / F.size(asked), 6)).otherwise(0.0)
+
+
+def reranked(hits: DataFrame, k: int, score=coverage) -> DataFrame:
+    """hits (query_id, pos, query, chunk_id, text) by a reranker's score, then as they stood; pos is new, scores are kept apart."""
+    scored = hits.withColumn("rerank_score", score(F.col("query"), F.col("text")))
+    order = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "pos")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", F.col("place").alias("pos"), "chunk_id", "rerank_score")
+
+
+def hashed_vectors(texts: DataFrame, size: int = DEFAULT.vector_size) -> DataFrame:
+    """(chunk_id, embedding): unit vectors of signed hashed index terms, a stand-in for a model; texts without terms have zeros."""
+    terms = texts.select("chunk_id", F.explode(T.index_terms(F.col("text"))).alias("term"))
+    cells = terms.select("chunk_id", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(size)).cast("int").alias("cell"), F.when(F.pmod(F.crc32(F.concat(F.lit("+"), "term").cast("binary")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign"))
+    summed = cells.groupBy("chunk_id", "cell").agg(F.sum("sign").alias("v")).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"))
+    full = texts.select("chunk_id").join(summed, "chunk_id", "left").select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    length = norm(F.col("v"))
+    return full.select("chunk_id", F.transform("v", lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float")).alias("embedding"))
+
+
+def sentence_vectors(sentences: list[str], size: int = DEFAULT.vector_size) -> np.ndarray:
+    """The same stand-in for a model, of a few sentences in a task."""
+    out = np.zeros((len(sentences), size))
+    for row, sentence in zip(out, sentences, strict=True):
+        for term in regex.findall(r"[\p{L}\p{N}\p{Co}]+", sentence.lower()):
+            row[zlib.crc32(term.encode()) % size] += 1 if zlib.crc32(b"+" + term.encode()) % 2 == 0 else -1
+    lengths = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(lengths > 0, lengths, 1)
+
+
+def stale(vectors: DataFrame, model: str) -> DataFrame:
+    """Vectors that a rebuild with model deletes first: those of other models, or of none."""
+    return vectors.where(~F.col("model").eqNullSafe(model))
+
+
+def retrieved(legs: list[DataFrame], chunks: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, rerank: bool = True) -> DataFrame:
+    """(query_id, pos, chunk_id): ranked lists fused if several, cut to the candidates, without near repeats, reranked on the query, cut to k."""
+    pool = DEFAULT.rerank_candidates if rerank else 2 * k
+    lists = legs[0].select("query_id", F.lit(0).alias("list_no"), "rank", "chunk_id")
+    for number, leg in enumerate(legs[1:], 1):
+        lists = lists.unionByName(leg.select("query_id", F.lit(number).alias("list_no"), "rank", "chunk_id"))
+    hits = fused(lists).where(F.col("pos") <= pool) if len(legs) > 1 else legs[0].select("query_id", F.col("rank").alias("pos"), "chunk_id")
+    own = distinct_hits(hits.join(chunks.select("chunk_id", "text"), "chunk_id"))
+    if not rerank:
+        return own.where(F.col("pos") <= k).select("query_id", "pos", "chunk_id")
+    return reranked(own.join(queries.select("query_id", "query"), "query_id"), k).select("query_id", "pos", "chunk_id")

@@ -1 +1 @@
-"""sources."""
+"""Readers of evaluation sets, pages and files, and writers of reports and vectors."""
