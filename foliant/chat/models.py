@@ -114,7 +114,10 @@ class Chain:
     def __post_init__(self):
         if not self.providers:
             raise RuntimeError("no provider is configured")
-        self.providers = list({name: (name, client) for name, client in reversed(self.providers)}.values())[::-1]
+        first: dict[str, LlmClient] = {}
+        for name, client in self.providers:
+            first.setdefault(name, client)
+        self.providers = list(first.items())
 
     def _try(self, ask: Callable[[LlmClient], object]):
         for step in range(len(self.providers)):

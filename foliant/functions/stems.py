@@ -57,12 +57,13 @@ def stem(w: str) -> str:
     """The stem of a lower-case word of a to z; others as they are."""
     if len(w) < 3 or not re.fullmatch("[a-z]+", w):
         return w
-    if w.endswith(("sses", "ies")):
+    # a suffix is never the whole word
+    if w.endswith("sses") or (w.endswith("ies") and len(w) > 3):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
     cut = None
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):

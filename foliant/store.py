@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from foliant.config import DEFAULT
 from foliant.functions import text as T
 from foliant.functions.stems import index_forms
-from foliant.operators import search
+from foliant.operators import search as lookup
 
 SCHEMAS = {
     "documents": "document_id long, filename string, filepath string, content_hash string, page_count int, processed_at timestamp",
@@ -137,9 +137,9 @@ class CorpusStore:
         self.indexed()
         asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("word"))
         bag = asked.withColumn("term", index_forms(F.col("word"))).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        return search.ranked(search.scored(self.read("postings").join(self.read("doc_lengths"), "chunk_id"), self.read("doc_lengths"), bag), k).select("query_id", "rank", "chunk_id", "score")
+        return lookup.ranked(lookup.scored(self.read("postings").join(self.read("doc_lengths"), "chunk_id"), self.read("doc_lengths"), bag), k).select("query_id", "rank", "chunk_id", "score")
 
-    def embed(self, model: str, encode: Callable[[DataFrame], DataFrame] = search.hashed_vectors, again: bool = False) -> None:
+    def embed(self, model: str, encode: Callable[[DataFrame], DataFrame] = lookup.hashed_vectors, again: bool = False) -> None:
         """Encode chunks without a vector; with again, vectors of other models go first."""
         if again and self.exists("chunk_embeddings"):
             self.replace("chunk_embeddings", self.read("chunk_embeddings").where(F.col("model").eqNullSafe(model)))
