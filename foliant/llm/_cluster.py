@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where unset, as in tests) a new local one."""
+    """The folder all executors share: spark.checkpoint.dir, or (where unset, on one machine as in tests) a new local one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -62,6 +66,20 @@ def text_bytes(docs: DataFrame, name: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.coalesce(column(docs, name), F.lit(""))))).first()[0] or 0
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python workers in batches that fit a small executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches that fit a small executor. This is the one setting that stays changed, as plans run later."""
+    spark.conf.set(_BATCH, 1000)
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run within send batches of so many rows."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)

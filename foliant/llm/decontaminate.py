@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._cluster import column
+from foliant.llm._cluster import column, cut
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: The sketches of all items are broadcast up to this many hashes (16 bytes each); beyond, they are joined by shuffle.
-MAX_BROADCAST_HASHES = 1_000_000
+#: The sketches of all items are broadcast up to this many hashes (16 bytes each), and their shingles up to this many bytes; beyond, they are joined by shuffle.
+MAX_BROADCAST_HASHES, MAX_BROADCAST_BYTES = 1_000_000, 32_000_000
+#: Documents found are broadcast up to this many (an id and a few items' ids each).
+MAX_BROADCAST_FOUND = 200_000
 
 
 def _words(text: Column) -> Column:
@@ -55,7 +57,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of each item held by a document to CONTAINMENT or more."""
     items = items_of(benchmark).cache()
-    size = items.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    sums = items.agg(F.sum(F.size("sketch")).alias("hashes"), F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x))).alias("bytes")).first()
+    size, whole = sums["hashes"] or 0, (sums["bytes"] or 0) <= MAX_BROADCAST_BYTES
     small = F.broadcast if size <= MAX_BROADCAST_HASHES else lambda df: df
     keys = small(items.select("item_id", "n_shingles", F.size("sketch").alias("k"), F.explode("sketch").alias("h")))
     # words are a column of their own: within a lambda, an expression would be evaluated again for each element
@@ -65,8 +68,13 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.groupBy("doc_id", "item_id", "n_shingles", "k").agg(F.count_distinct("h").alias("hits") if size > MAX_BROADCAST_HASHES else F.count("*").alias("hits"))
     found = found.where(F.col("hits") >= F.col("k") - missed).groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("null_id"))
     ids = F.when(F.col("null_id"), F.array_append("ids", F.lit(None))).otherwise(F.col("ids"))
-    pairs = texts.join(found, F.col("doc_id").eqNullSafe(F.col("found_id"))).select("doc_id", _strings(F.col("words")).alias("of_doc"), F.explode(ids).alias("maybe"))
-    shared = pairs.join(small(items), F.col("maybe").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", "n_shingles", F.size(F.array_intersect("shingles", "of_doc")).cast("long").alias("n_shared"))
+    found, _ = cut(found.select("found_id", ids.alias("ids")), "found")
+    # few documents are found; their ids are broadcast if they are, and only their texts are split and compared
+    found = F.broadcast(found) if found.count() <= MAX_BROADCAST_FOUND else found
+    own = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")))
+    own = own.select("doc_id", "ids", _words(F.col("text")).alias("words"))
+    pairs = own.select("doc_id", _strings(F.col("words")).alias("of_doc"), F.explode("ids").alias("maybe"))
+    shared = pairs.join(F.broadcast(items) if whole else items, F.col("maybe").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", "n_shingles", F.size(F.array_intersect("shingles", "of_doc")).cast("long").alias("n_shared"))
     best = shared.groupBy("doc_id", "item_id").agg(F.max_by("n_shingles", F.col("n_shared") / F.col("n_shingles")).alias("n_shingles"), F.max_by("n_shared", F.col("n_shared") / F.col("n_shingles")).alias("n_shared"))
     return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.lit(CONTAINMENT - 1e-9) * F.col("n_shingles"))
 
@@ -74,8 +82,9 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with docs' own columns. Rows are judged by their own texts, whatever their ids."""
     digest = F.md5(F.coalesce(column(docs, "text"), F.lit("")))
-    held = contained(docs.select(digest.alias("doc_id"), column(docs, "text").alias("text")), benchmark).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, digest == F.col("_held"), "left_anti")
+    held = contained(docs.select(digest.alias("doc_id"), column(docs, "text").alias("text")), benchmark).select(F.col("doc_id").alias("digest")).distinct()
+    packed = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("row"), digest.alias("digest"))
+    return packed.join(held, "digest", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import _bytes as B
-from foliant.llm._cluster import blocks_for, column, cut, drop, release, small_batches
+from foliant.llm._cluster import batches, blocks_for, column, cut, drop, release
 
 #: Counts up to this are discounted.
 K = 5
@@ -367,11 +367,20 @@ def _replies(answers: DataFrame, name: str, *columns: str) -> DataFrame:
 def scored(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; held: rows not trained on."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"), held.alias("held"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    tokens, tokens_at = cut(rows.mapInArrow(_tokenised, f"block long, doc_ids array<{kind}>, held array<boolean>, {_TOKENS}"), "lm-tokens")
-    small_batches(spark, _ROWS)
+    with batches(spark, 1000):
+        tokens, tokens_at = cut(rows.mapInArrow(_tokenised, f"block long, doc_ids array<{kind}>, held array<boolean>, {_TOKENS}"), "lm-tokens")
+    with batches(spark, _ROWS):  # a row holds a block's words
+        out = _scored(tokens, kind)
+    drop(spark, tokens_at)
+    release(spark)
+    return out
+
+
+def _scored(tokens: DataFrame, kind: str) -> DataFrame:
+    """The scores of tokenised blocks; doc_id is of type kind."""
+    spark = tokens.sparkSession
     sums = tokens.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_train", "train_docs"))).first()
 
     parts = blocks_for(sums["n_words"], _PART)
@@ -405,8 +414,7 @@ def scored(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc
         _scores(hot, parts, d, unigrams, known, sums["train_docs"]), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     out, _ = cut(out, "lm-scores")
-    drop(spark, tokens_at, replies_at, bigrams_at)
-    release(spark)
+    drop(spark, replies_at, bigrams_at)
     return out
 
 

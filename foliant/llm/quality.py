@@ -75,10 +75,13 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
     return keyed, starts, gaps
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "mean_word_chars", "symbols_per_word", "dup_line_ratio", "stop_word_ratio", "base_failed")
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed and the rules' ratios."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed and the rules' ratios, which replace columns of these names."""
     t = F.coalesce(column(docs, text), F.lit(""))
-    df = docs.withColumn("_text", t).withColumn("_words", _words(F.col("_text")))
+    df = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("_row"), t.alias("_text")).withColumn("_words", _words(F.col("_text")))
     df = df.withColumn("_hashes", F.when(F.size("_words") > WINDOW, _windows(F.col("_words"), lambda i: F.xxhash64(*[F.get(F.col("_words"), i + j) for j in range(WINDOW)]))))
     keyed, starts, gaps = _repeat_words(F.col("_words"), F.col("_hashes"))
     df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), keyed))
@@ -97,7 +100,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return df.withColumns(
+    df = df.withColumns(
         {
             "mean_word_chars": ratio("word_chars", "n_words"),
             "symbols_per_word": ratio("n_symbols", "n_words"),
@@ -105,7 +108,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "stop_word_ratio": ratio("n_stop_words", "n_words"),
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         }
-    ).drop("_text", "_words", "_hashes", "_sorted", "_starts", "_lines")
+    )
+    return df.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in MEASURES), *MEASURES)
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

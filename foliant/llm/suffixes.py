@@ -20,7 +20,9 @@ documents share a passage. A q-gram with several neighbourhoods in one block is
 Defined results: a null text has no bytes; texts of fewer than 100 bytes stay whole; a null doc_id comes before all
 others; rows that repeat both doc_id and text are taken as one document, so that exact repeats of a row don't remove each other;
 different texts with one doc_id (null included) are documents of their own, in the order of their digests;
-an empty table gives an empty result; other columns, whatever their names, are not read.
+ids of any orderable type will do, and others than integers are numbered in their order first; very long texts are
+read whole; an empty table gives an empty result; other columns, whatever their names, are not read, and deduplicated()
+returns them as they are.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 from foliant.llm import _bytes as B
 from foliant.llm._cluster import NULL_ID, column, cut, drop, release, small_batches
@@ -329,24 +332,24 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def _told_apart(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """docs with _doc, an integer for each pair of doc_id and text, in the order of doc_id."""
+    """docs (of our own columns) with _doc, an integer for each pair of doc_id and text, in the order of doc_id."""
     digest = F.unhex(F.md5(F.coalesce(column(docs, text), F.lit(""))))
-    ids = docs.select(F.coalesce(column(docs, doc_id), F.lit(NULL_ID)).alias("_id"), digest.alias("_digest"))
-    several = ids.groupBy("_id").agg((F.min("_digest") != F.max("_digest")).alias("several")).where("several")
-    if several.isEmpty():
-        return docs.withColumn("_doc", F.coalesce(column(docs, doc_id), F.lit(NULL_ID)))
+    whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    key = F.coalesce(column(docs, doc_id).cast("long"), F.lit(NULL_ID)) if whole else column(docs, doc_id)
+    ids = docs.select(key.alias("_id"), digest.alias("_digest"))
+    if whole and ids.groupBy("_id").agg((F.min("_digest") != F.max("_digest")).alias("several")).where("several").isEmpty():
+        return docs.withColumn("_doc", key)
     # ranges of ids are numbered in order
     order = ids.distinct().repartitionByRange("_id", "_digest").sortWithinPartitions("_id", "_digest")
     order, _ = cut(order.withColumn("_doc", F.monotonically_increasing_id()), "row-ids")
-    rows = docs.withColumns({"_id": F.coalesce(column(docs, doc_id), F.lit(NULL_ID)), "_digest": digest}).join(order, ["_id", "_digest"])
-    return cut(rows.drop("_id", "_digest"), "rows")[0]
+    rows = docs.withColumns({"_id": key, "_digest": digest}).alias("r").join(order.alias("o"), F.col("r._id").eqNullSafe(F.col("o._id")) & (F.col("r._digest") == F.col("o._digest")))
+    return cut(rows.select(*(column(docs, c) for c in docs.columns), "o._doc"), "rows")[0]
 
 
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte ranges starts and ends."""
-    told = _told_apart(docs, text, doc_id)
-    rows = told.select(column(told, doc_id).alias("doc_id"), column(told, text).alias("text"), F.col("_doc").alias("doc"))
-    rows = rows.join(repeats(told, text, "_doc"), "doc", "left").select("doc_id", "text", "ats")
+    told = _told_apart(docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text")), "text", "doc_id")
+    rows = told.withColumnRenamed("_doc", "doc").join(repeats(told, "text", "_doc"), "doc", "left").select("doc_id", "text", "ats")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, each in _each(batches):
@@ -362,18 +365,17 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with the repeated bytes removed from their texts; parts of characters left over at a cut are dropped too."""
-    told = _told_apart(docs, text, doc_id)
-    found = repeats(told, text, "_doc").select(F.col("doc").alias("_doc"), F.col("ats").alias("_ats"))
-    rows = told.join(found, "_doc", "left")
-    given = [column(rows, c) for c in docs.columns if c != text]
+    given = F.struct(*(column(docs, c) for c in docs.columns if c != text), F.lit(0).alias("")).alias("given")
+    told = _told_apart(docs.select(given, column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text")), "text", "doc_id")
+    rows = told.withColumnRenamed("_doc", "doc").join(repeats(told, "text", "_doc"), "doc", "left")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, each in _each(batches):
             new = pa.array([None if not t.is_valid else k.decode(errors="ignore") for t, (_, k, _, _) in zip(b.column("text"), each, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("given"), new], ["given", "text"])
 
-    packed = rows.select(F.struct(*given).alias("given"), column(rows, text).alias("text"), F.col("_ats").alias("ats"))
-    out = packed.mapInArrow(kept, f"given {packed.schema['given'].dataType.simpleString()}, text string")
+    packed = rows.select("given", "text", "ats")
+    out = packed.mapInArrow(kept, StructType([StructField("given", packed.schema["given"].dataType), StructField("text", StringType())]))
     return out.select(*[(F.col("text").alias(c) if c == text else F.col("given")[c].alias(c)) for c in docs.columns])
 
 

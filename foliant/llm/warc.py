@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._cluster import column, cut, shared_dir, small_batches
+from foliant.llm._cluster import batches, column, cut, drop, shared_dir
 
 #: The least bytes of payloads that are stored once.
 LEAST = 1000
@@ -189,9 +189,9 @@ def write(rows: DataFrame, path: str, key: str, payload: str, url: str | None =
                 out.append(member(text)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    small_batches(spark, 200)
     members = rows.mapInArrow(made, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS).text(path)
+    with batches(spark, 200):
+        members.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 _READ = "path string, offset long, length long, error string, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, http_length long, payload binary"
@@ -220,9 +220,7 @@ def _row(path: str, f: Found) -> dict:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each valid record and, with error set, for each gap of the archives in the folder path."""
-    # one file at a time, whatever its size
-    small_batches(spark, 1)
+    """A row for each valid record and, with error set, for each gap of the archives in the folder path. Jobs on large archives run within batches(spark, 1)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,16 +251,24 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = f"{shared_dir(spark)}/foliant/warc-{uuid.uuid4().hex}"
     write(pages, path, "page_id", "html", "url")
-    found = read(spark, path).where("error IS NULL")
+    found = read(spark, path)
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     whole = F.col("warc_type") == "response"
-    return found.select(
+    found = found.select(
+        "error",
         number("record_id").alias("page_id"),
         F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
         F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
         F.when(~whole, number("refers_to")).alias("refers_to"),
     )
+    with batches(spark, 1):  # one file at a time, whatever its size
+        found, _ = cut(found, "warc-records")
+    drop(spark, path)
+    counts = found.agg(F.count("*").alias("n"), F.count("error").alias("gaps")).first()
+    if counts["gaps"] or counts["n"] != pages.count():
+        raise RuntimeError(f"the archive has {counts['n']} records and {counts['gaps']} gaps")
+    return found.drop("error")
 
 
 SQL = f"""

@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -8,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.llm._bytes import buffers as _buffers
 from foliant.llm import bestfit, decontaminate, extract, katz, matrices, neardup, quality, suffixes, tokens, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, held string, words string"
@@ -68,11 +71,57 @@ def test_near_duplicates_of_a_hub(spark):
     alike = lambda x, y: len(x & y) / len(x | y) >= neardup.SIMILARITY
     assert all(alike(bags[0], x) for x in bags[1:]) and sum(alike(x, y) for i, x in enumerate(bags[1:]) for y in bags[1 : i + 1]) < 150
     # so many other texts that no shingle is common
-    rows += [(1000 + i, f"other text {i}") for i in range(3500)]
+    rows += [(1000 + i, f"other text {i}") for i in range(7600)]
     got = {r.doc_id: r.class_id for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {got[i] for i in range(151)} == {0} and all(got[i] == i for i, _ in rows[151:])
 
 
+def test_links_of_near_duplicates_are_found(spark):
+    """Recall against all pairs: groups of copies, each with more edits than the one before, and their own originals."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(150)]
+        for i in range(40):
+            edited = list(base)
+            for _ in range(rng.randrange(0, 9)):
+                edited[rng.randrange(150)] = f"e{rng.randrange(10**9)}"
+            rows.append((g * 1000 + i, " ".join(edited)))
+    # so many other texts that no shingle is common
+    rows += [(10**6 + i, words(rng, 12, 10**6)) for i in range(2000)]
+    got = {r.doc_id: r.class_id for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bags = {i: Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4)) for i, ws in ((i, t.split()) for i, t in rows[:480])}
+    n = both = 0
+    for i in bags:
+        for j in bags:
+            if i < j and i // 1000 == j // 1000 and (bags[i] & bags[j]).total() >= neardup.SIMILARITY * (bags[i] | bags[j]).total():
+                n, both = n + 1, both + (got[i] == got[j])
+    assert n > 500 and both >= 0.97 * n
+    # nothing else is joined: what is in one group is connected by links
+    parent = {i: i for i in bags}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in bags:
+        for j in bags:
+            if i < j and i // 1000 == j // 1000 and (bags[i] & bags[j]).total() >= (neardup.SIMILARITY - 0.01) * (bags[i] | bags[j]).total():
+                parent[root(j)] = root(i)
+    assert all(root(i) == root(got[i]) for i in bags) and all(got[i] == i for i, _ in rows[480:])
+
+
+def test_weights_are_those_of_counted_documents(spark):
+    rng = random.Random(4)
+    rows = [(f"{'the same five words here ' * (i % 3 == 0)}{words(rng, 20, 10**6)}",) for i in range(900)]
+    found = neardup.weights(spark.createDataFrame(rows, "text string"))
+    h, n, _ = neardup._bags(*_buffers(pa.array(["the same five words here", "never seen before this one"])))
+    got = found.of(h, np.ones(len(h)))
+    want = 1 + math.log(3) / math.log(1 / neardup.FLOOR)
+    assert min(abs(x - want) for x in got) < 0.01 and 1.9 < max(got) <= 2.001
+
+
 def removed(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
@@ -83,14 +132,21 @@ def removed(rows):
             if s in seen:
                 gone[at : at + 100] = True
             seen.add(s)
-        out[i] = int(gone.sum())
+        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(raw) else 0
+        out[i] = (len(raw), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest())
     return out
 
 
 def test_suffixes(spark, empty):
     rows = list(enumerate(texts()))
+    rng = random.Random(12)
+    long = words(rng, 60_000)
+    rows += [(20, long), (21, "x " + long[5000:250_000] + words(rng, 30)), (22, "ab" * 300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.n_removed for r in suffixes.spans(docs).collect()} == removed(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.spans(docs).collect()}
+    assert got == removed(rows)
+    named = spark.createDataFrame([(f"{i:03}", t) for i, t in rows], "doc_id string, text string")
+    assert {int(r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.spans(named).collect()} == got
     assert suffixes.spans(empty).count() == 0 and suffixes.deduplicated(empty).columns == empty.columns
 
 
@@ -118,6 +174,62 @@ def test_rows_are_told_apart_by_more_than_their_id(spark):
     assert own[2] in got and sum(shared in t for t in got) == 1 and all(sum(t.startswith(o) for t in got) == 1 for o in own)
 
 
+CLASHING = ["_doc", "_ats", "_held", "_tid", "_first", "_text", "_words", "_lines", "_row", "given", "row", "tid", "id", "ats", "digest", "root", "one", "ids", "words", "rank", "bucket"]
+
+
+def test_columns_of_clashing_names_stay(spark):
+    rng = random.Random(9)
+    base = words(rng, 120, 10**6)
+    held = words(rng, 30, 10**6)
+    prose = "The old house by the river is one that people of the town have known for a long time and like to visit in the summer."
+    rows = [(i, t, *[f"{c}{i}" for c in CLASHING]) for i, t in enumerate([base, base + " end", held, prose, None, "", prose])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING))
+    items = spark.createDataFrame([(1, held)], "item_id long, text string")
+    for out, kept in ((neardup.representatives(docs), {0, 2, 3, 4}), (suffixes.deduplicated(docs), set(range(7))), (decontaminate.clean(docs, items), {0, 1, 3, 4, 5, 6}), (quality.accepted(docs), {3, 6})):
+        got = out.collect()
+        assert out.columns == docs.columns and {r.doc_id for r in got} == kept
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHING)
+    rated = quality.rated(docs).collect()
+    assert all(r["_words"] == f"_words{r.doc_id}" and r.kept == (r.doc_id in (3, 6)) for r in rated)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id for r in neardup.representatives(named).collect()} == {"d0", "d2", "d3", "d4"}
+
+
+def test_representatives_do_not_depend_on_partitioning(spark):
+    rows = [(5, "the same text", f"x{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    assert len({tuple(r) for n in (1, 3, 11) for r in neardup.representatives(df.repartition(n, "other")).collect()}) == 1
+
+
+def naive_sequences(lengths, capacity):
+    """How many sequences best fit decreasing opens, piece by piece."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in free if r >= n]
+        if fits:
+            free.remove(min(fits))
+            free.append(min(fits) - n)
+        else:
+            free.append(capacity - n)
+    return len(free)
+
+
+def test_plans_are_best_fit_decreasing():
+    rng = random.Random(6)
+    for _ in range(60):
+        capacity = rng.randrange(5, 60)
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 120))]
+        entries = bestfit.plan(dict(Counter(lengths)), capacity)
+        assert max(first + (n - 1) // each for n, first, each in ((entries_count(entries, k, lengths), e[2], e[3]) for k, e in enumerate(entries))) + 1 == naive_sequences(lengths, capacity)
+
+
+def entries_count(entries, k, lengths):
+    """The pieces of the k-th entry: up to the next one of its length, or all that are left."""
+    length, rank = entries[k][:2]
+    later = [e[1] for e in entries if e[0] == length and e[1] > rank]
+    return (min(later) if later else lengths.count(length)) - rank
+
+
 def test_packing(docs, empty):
     rows = bestfit.packed(docs).collect()
     by = {}
@@ -180,19 +292,52 @@ def test_extraction(spark):
     rows = [(i, f"http://h/{i}", page.format(i)) for i in range(6)] + [(90, None, None), (91, "odd", "")]
     got = {r.page_id: r.text for r in extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "T 3 a3 & b c" and got[90] == got[91] == ""
-    plain = [f"<div id=top>Slogan</div><div><a>Home</a> <a>News</a></div><div><h2>T{i}</h2><p>text {'x' * i}</p><p>more {i}</p></div><div>Imprint</div>" for i in range(6)]
-    w = None
-    for p in plain:
-        found, stream = extract.blocks(p)
-        new = extract.folded(extract._streamed(stream, found))
-        w = new if w is None else extract.aligned(w, new)
-    unwanted = frozenset(extract.numbered(w))
-    assert [extract.main_text(p, w, unwanted) for p in plain] == [f"T{i} text {'x' * i} more {i}".replace("  ", " ") for i in range(6)]
-    assert "(<p>#</p>)+" in extract.expression(w).replace("</p>", "</p>").replace("<//p>", "</p>")
+
+
+def test_wrappers_decide_without_names():
+    plain = [f"<div>Slogan</div><div><a>Home</a> <a>News</a></div><div><h2>T{i}</h2><p>text {'x' * i} and more of it</p><p>more {i}</p></div><div>Imprint {i}</div>" for i in range(1, 10)]
+    template = extract.inferred(plain)
+    assert [extract.main_text(p, template) for p in plain] == [f"T{i} text {'x' * i} and more of it more {i}" for i in range(1, 10)]
+    assert extract.expression(template.w) == "(<div>#</>)+<div><h2>#</>(<p>#</>)+</><div>#</>"
+
+
+def test_names_and_elements_of_all_pages_can_go(spark):
+    """On the given pages, the wrapper alone finds what it finds with their elements' names."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = lambda h: re.sub(r' (class|id)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", h or ""))
+    rows = [(r.page_id, r.url, bare(r.html)) for r in pages.collect()]
+    stripped = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r.page_id: (r.text, r.by_wrapper) for r in extract.extracted(pages).collect()}
+    assert {r.page_id: (r.text, r.by_wrapper) for r in extract.extracted(stripped).collect()} == want
+    assert all(own for _, own in want.values()) and len(want) == len(rows)
+
+
+def test_wrappers_fold_repeat_and_leave_out():
+    pages = ["<ul><li>a<li>b</ul><h3>x</h3><p>1</p><h3>y</h3><p>2</p><p>3</p>", "<h3>z</h3><p>4</p>", "<ul><li>c</ul><h3>w</h3><p>5</p><hr><i>6</i>"]
+    template = extract.inferred(pages)
+    assert extract.expression(template.w) == "(<ul>(<li>#</>)+</>)?(<h3>#</>(<p>#</>)+)+#?"
+    # a text on most pages is template wherever it repeats; scripts end in any case, whatever letters change length in lower case
+    pages = [f"{'İ' * 40}<script>var a = 1</SCRIPT><h1>T{i}</h1><p>one {i} two three</p><p>Share this</p><p>four {i}</p>" for i in range(12)]
+    template = extract.inferred(pages)
+    assert extract.main_text(pages[3], template) == "T3 one 3 two three four 3"
+
+
+def test_extraction_is_the_same_for_any_partitioning(spark, monkeypatch):
+    page = "<div>{1}</div><div><h1>T{0}</h1><p>a {0} {2}</p><p>b</p></div><div class=comments>c{0}</div>"
+    rows = [(i, "http://h/" if i % 3 else "http://k:8/", page.format(i, "x" * (i % 4), "y" * i), 1, 2) for i in range(60)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int, wrapper int")
+    want = sorted(tuple(r) for r in extract.extracted(pages).collect())
+    assert len(want) == 120 and dict((r[0], r[2]) for r in want)[5] == "T5 a 5 yyyyy"  # b is template
+    assert sorted(tuple(r) for r in extract.extracted(pages.repartition(7, "html")).collect()) == want
+    monkeypatch.setattr(extract, "SPLIT", 5)  # hosts are split, and wrappers go before their pages
+    monkeypatch.setattr(extract, "FAN", 3)
+    monkeypatch.setattr(extract, "MAX_BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in extract.extracted(pages).collect()) == want
+    assert extract.extracted(pages.limit(0)).count() == 0
 
 
 def test_copies_of_a_page_are_one_page(spark):
-    page = "<div><h2>Title</h2></div><section>main text</section>" + "<p>again</p>" * 6
+    page = "<div><h2>Title</h2><section>main text</section>" + "<p>again</p>" * 6 + "</div>"
     rows = [(i, "http://h/", page) for i in range(12)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
     assert {r.text for r in extract.extracted(pages).collect()} == {"Title main text" + " again" * 6}
