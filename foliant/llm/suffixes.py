@@ -9,9 +9,11 @@ about one in 35 positions, are dealt out; their q-grams are the initial buckets
 
 1. A bucket of one anchor is final: its strings are unique. Anchors whose whole neighbourhood (all the strings
    they anchor) equals an earlier one's are repeats altogether.
-2. What remains is where repeated passages begin and end. There all suffixes are sorted to depth 100 by
+2. What remains is where repeated passages begin and end. There all suffixes are sorted to depth 100 or more by
    bucket-pointer refinement: buckets by 8-byte prefixes, refined by sorting on the bucket pointers 8, 16, 32 and
-   36 positions on, each round using the pointers that the last one refined, and only buckets of several suffixes.
+   64 positions on, and only buckets of several suffixes. A pass takes the buckets in portions and sets the pointers
+   after each, so that the portions after it sort by pointers this pass has refined already, which may stand for
+   many more bytes than the offset. Neighbours in that order whose 100 bytes are equal then share a pointer.
    Equal pointers are equal strings within a block; across blocks each block's first one meets by its hash.
 
 A block sends a string or neighbourhood once, so no key has more rows than there are blocks, however many
@@ -42,6 +44,8 @@ from foliant.llm._cluster import NULL_ID, column, cut, drop, release, small_batc
 LENGTH = 100
 GRAM = 32
 _WIDE = LENGTH - GRAM + 1
+#: The portions of a refining pass.
+PORTIONS = 8
 _SLICE = 1_500_000
 _HELD = 300_000
 _ROW = "k long, s long, doc long, at long"
@@ -50,30 +54,48 @@ _EMPTY = np.zeros(0, np.int64)
 
 
 def refined(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Bucket pointers of all suffixes of data: the number of suffixes with a smaller depth-byte prefix.
+    """Bucket pointers of all suffixes of data: the number of suffixes before the first one with the same depth bytes.
 
-    Past its end, data counts as padded with zeros.
+    Suffixes of fewer than depth bytes stand in the order too, but their pointers say nothing. depth is 8 at least.
     """
     n = len(data)
-    x = np.zeros(n + depth, B.U)
+    x = np.zeros(n + depth + 8, B.U)
     x[:n] = data
-    first = np.zeros(n, B.U)
+    first = np.zeros(n + depth, B.U)
     for j in range(8):
-        first |= x[j : j + n] << B.U(56 - 8 * j)
-    order = np.argsort(first)
-    pointer = np.zeros(n + depth, np.int64)
+        first |= x[j : j + n + depth] << B.U(56 - 8 * j)
+    order = np.argsort(first[:n])
+    pointer = np.full(n + 2 * depth, -1, np.int64)  # past its end, data is less than any bucket
     active = _named(pointer, order, first[order], np.zeros(n, np.int64))
     known = 8
     while known < depth and len(active):
-        step = min(known, depth - known)
-        later = pointer[active + step]  # pointers of the last round stand for known bytes each
-        keys = (pointer[active].astype(B.U) << B.U(32)) | later.astype(B.U)
-        order = np.argsort(keys)
-        active = _named(pointer, active[order], keys[order], pointer[active[order]])
-        known += step
+        left = []
+        for run in _portions(pointer, active):
+            later = pointer[run + known] + 1  # stands for known bytes at least, and more where a portion before refined it
+            keys = (pointer[run].astype(B.U) << B.U(32)) | later.astype(B.U)
+            order = np.argsort(keys)
+            left.append(_named(pointer, run[order], keys[order], pointer[run[order]]))
+        active = np.concatenate(left)
+        known *= 2
+    order = np.argsort(pointer[:n])
+    a, b = order[:-1], order[1:]
+    same = pointer[a] == pointer[b]
+    maybe = np.flatnonzero(~same)
+    for at in (*range(0, depth - 8, 8), depth - 8):
+        maybe = maybe[first[a[maybe] + at] == first[b[maybe] + at]]
+    same[maybe] = True
+    heads = np.where(np.concatenate([[False], same])[:n], 0, np.arange(n))
+    pointer[order] = np.maximum.accumulate(heads)
     return pointer[:n]
 
 
+def _portions(pointer: np.ndarray, active: np.ndarray) -> list[np.ndarray]:
+    """active, cut between buckets into about PORTIONS."""
+    opens = np.append(np.flatnonzero(_changes(pointer[active])), len(active))
+    ends = opens[np.searchsorted(opens, np.arange(1, PORTIONS) * len(active) // PORTIONS)]
+    return [run for run in np.split(active, ends) if len(run)]
+
+
 def _named(pointer: np.ndarray, order: np.ndarray, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Set the pointers of suffixes sorted by key within their buckets; returns those in buckets of several."""
     n = len(order)
