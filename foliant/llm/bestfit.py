@@ -3,7 +3,8 @@
 Documents are token ids and an end token; only those longer than a sequence are cut. The plan is best fit
 decreasing over counts: all pieces of one length are placed together, into the open sequences whose free space is
 tightest, as many to each as fit. It has a few entries for each length, whatever the number of pieces. Pieces take
-their slots by rank within their length, numbered from counts of hashed buckets, so that no length meets in one task.
+their slots by rank within their length, numbered from counts of hashed buckets, which are added up within runs of
+buckets and then over the runs, so that neither a length's pieces nor its buckets meet in one task.
 
 Defined results: a null or empty text is one piece of one token; rows that repeat a doc_id, or have none, are packed as
 documents of their own; an empty table gives an empty result; other columns, whatever their names, are not read.
@@ -16,13 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.llm import tokens
 from foliant.llm._cluster import column, cut, small_batches
 
+#: Pieces of a bucket, about, and the buckets of a run.
+BUCKET, RUN = 500, 1000
+
 
 def plan(counts: dict[int, int], capacity: int = tokens.LENGTH) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, first sequence, pieces in each sequence, offset): entries by length and rank."""
@@ -77,16 +81,24 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def _before(order: WindowSpec) -> Column:
+    """The sum of n over the rows before."""
+    return F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
 def placed(found: DataFrame, capacity: int = tokens.LENGTH) -> DataFrame:
     """found (rows with length, stored) with sequence_id and offset."""
     spark = found.sparkSession
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most one row for each length
     entries = sorted(plan(counts, capacity))
-    buckets = sum(counts.values()) // 500 + 1
+    buckets = sum(counts.values()) // BUCKET + 1
     dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sums = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    sums = sums.withColumn("run", F.floor(F.col("bucket") / RUN))
+    runs = sums.groupBy("length", "run").agg(F.sum("n").alias("n"))
+    runs = runs.select("length", "run", _before(W.partitionBy("length").orderBy("run")).alias("start"))
+    sums = sums.withColumn("before", _before(W.partitionBy("length", "run").orderBy("bucket"))).join(runs, ["length", "run"])
+    sums = sums.select("length", "bucket", (F.col("start") + F.col("before")).alias("before"))
     within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = dealt.withColumn("within", within).join(sums, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
     names = found.columns
