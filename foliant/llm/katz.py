@@ -20,7 +20,8 @@ Where a count of counts is zero or a discount not between 0 and 1, the discount
 
 Defined results: a null text is empty, and an empty text is one end token; a null doc_id is trained on; rows that repeat
 a doc_id are scored and trained on each; without training tokens every word is unknown, with probability 1; an empty
-table gives an empty result; other columns, whatever their names, are not read. Word numbers have 32 bits.
+table gives an empty result; other columns, whatever their names, are not read. Word numbers have 32 bits; more
+distinct words raise an error.
 """
 
 from __future__ import annotations
@@ -393,6 +394,8 @@ def _scored(tokens: DataFrame, kind: str) -> DataFrame:
     for part in sorted(seen):
         offsets[part], at = at, at + seen[part]
     known = at
+    if known >= _START:
+        raise OverflowError(f"{known} distinct words are more than word numbers of 32 bits hold")
     replies, replies_at = cut(words.select("part", "n", "blocks", "sizes", "places").mapInArrow(_answers(offsets), "block long, part int, n binary, ids binary"), "lm-word-counts")
 
     parts = blocks_for(sums["n_tokens"], _PART)
