@@ -137,6 +137,20 @@ def removed(rows):
     return out
 
 
+def test_refined_pointers_are_those_of_sorted_strings():
+    rng = random.Random(13)
+    for t in range(400):
+        raw = bytes(rng.choice(b"ab\0"[: t % 3 + 1]) for _ in range(rng.randrange(300))) + bytes(rng.randrange(256) for _ in range(rng.randrange(1, 120))) * rng.randrange(1, 5)
+        depth = rng.choice([8, 12, 33, 100])
+        got = suffixes.refined(np.frombuffer(raw, np.uint8), depth)
+        by = {}
+        for i in range(len(raw) - depth + 1):
+            by.setdefault(raw[i : i + depth], set()).add(int(got[i]))
+        heads = [min(v) for _, v in sorted(by.items())]
+        assert all(len(v) == 1 for v in by.values()) and heads == sorted(set(heads))
+    assert len(suffixes.refined(np.zeros(0, np.uint8))) == 0
+
+
 def test_suffixes(spark, empty):
     rows = list(enumerate(texts()))
     rng = random.Random(12)
@@ -230,8 +244,12 @@ def entries_count(entries, k, lengths):
     return (min(later) if later else lengths.count(length)) - rank
 
 
-def test_packing(docs, empty):
+@pytest.mark.parametrize("bucket, run", [(500, 1000), (1, 2)])
+def test_packing(docs, empty, monkeypatch, bucket, run):
+    monkeypatch.setattr(bestfit, "BUCKET", bucket)
+    monkeypatch.setattr(bestfit, "RUN", run)
     rows = bestfit.packed(docs).collect()
+    assert len(set(r.sequence_id for r in rows)) == naive_sequences([r.length for r in rows], 1024)
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -245,12 +263,13 @@ def test_packing(docs, empty):
     assert bestfit.packed(empty).count() == 0
 
 
-def test_ids_are_those_of_tokenizers():
+def test_ids_are_those_of_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for t in [*texts(), "a<|endoftext|>b", "  tab\t\r\n\n x y  ", "don't 123456 ***"]:
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in [*given, *texts(), "a<|endoftext|>b", "  tab\t\r\n\n x y  ", "don't 123456 ***"]:
         assert list(tokens.encoded(tokens.default_path(), t))[:-1] == whole.encode(t or "", add_special_tokens=False).ids
 
 
@@ -355,9 +374,19 @@ def test_katz_is_normalised_and_exact(docs, empty):
             for u, w in zip([0, *ws], ws, strict=False):
                 two[u, w] += 1
                 context[u] += 1
-    counts = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
-    uni, d = katz.Unigrams(counts(one), sum(one.values())), katz.discounts(counts(two))
-    p1 = lambda w: float(uni.of(np.array([one[w]]))[0])
+
+    def good_turing(c):
+        """By count: the discount, as in Katz 1987 with k = 5, or 1 - 1 / (2 r) where that is none."""
+        n = Counter(c.values())
+        least = 6 * n[6] / n[1] if n[1] else 1
+        d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - least) / (1 - least) if n[r] and least < 1 else 0 for r in range(1, 6)}
+        return {r: x if 0 < x < 1 else 1 - 1 / (2 * r) for r, x in d.items()} | {6: 1}
+
+    d1, d = good_turing(one), good_turing(two)
+    total = sum(one.values())
+    left = total - sum(d1[min(c, 6)] * c for c in one.values())
+    assert left > 0
+    p1 = lambda w: d1[min(one[w], 6)] * one[w] / total if one[w] else left / total
     assert math.isclose(sum(map(p1, one)) + p1("?"), 1)
 
     def p(u, w):
@@ -377,6 +406,64 @@ def test_katz_is_normalised_and_exact(docs, empty):
     assert katz.scored(empty, F.lit(False)).count() == 0
 
 
+def test_toxicity_models_are_kneser_ney():
+    """The evidence against both classes' models written out with dictionaries."""
+    rng = random.Random(17)
+    made = [" ".join(f"w{min(int(rng.expovariate(0.2 if c else 0.3)), 30)}" for _ in range(rng.randrange(1, 30))) for c in (0, 1) for _ in range(60)]
+    pairs = [Counter(), Counter()]
+    for k, t in enumerate(made):
+        ws = t.split()
+        pairs[k >= 60].update(zip([None, *ws], ws, strict=False))
+
+    def less(counts):
+        n = Counter(counts)
+        if not all(n[i] for i in (1, 2, 3, 4)):
+            return lambda c: 0.5 if c else 0
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i - 0.05) for i in (1, 2, 3))]
+        return lambda c: d[min(c, 3)]
+
+    every = set(pairs[0]) | set(pairs[1])
+    vocabulary = {w for _, w in every}
+    shared = Counter(w for _, w in every)
+    d_shared = less(shared.values())
+    freed_shared = sum(map(d_shared, shared.values())) / len(every)
+    base = lambda w: (shared[w] - d_shared(shared[w])) / len(every) + freed_shared / (len(vocabulary) + 1)
+    assert math.isclose(sum(map(base, vocabulary)) + base("?"), 1)
+
+    def model(c):
+        after = Counter(w for _, w in c)
+        context = Counter()
+        for (u, _), n in c.items():
+            context[u] += n
+        d1 = less([after[w] for w in vocabulary if after[w]])
+        d2 = less(c.values())
+
+        def p1(w):
+            return (after[w] - d1(after[w])) / len(c) + sum(d1(n) for n in after.values()) / len(c) * base(w)
+
+        def p(u, w):
+            if not context[u]:
+                return p1(w)
+            freed = sum(d2(n) for (x, _), n in c.items() if x == u)
+            return (c[u, w] - d2(c[u, w])) / context[u] + freed / context[u] * p1(w)
+
+        return p1, p
+
+    (low0, p0), (low1, p1) = map(model, pairs)
+    assert math.isclose(sum(p1("w1", w) for w in [*vocabulary, "?"]), 1)
+    u, w, first = toxicity._bigrams(pa.array(made))
+    keys, at, of = np.unique(toxicity._key(u, w), return_index=True, return_inverse=True)
+    toxic = np.repeat(np.arange(len(made)) >= 60, np.diff(first))
+    counts = np.stack([np.bincount(of[toxic == c], minlength=len(at)) for c in (False, True)], axis=1)
+    found = toxicity.Models.of(u[at], w[at], counts)
+    asked = [*made, "w1 never w2 w2", "other words"]
+    u, w, first = toxicity._bigrams(pa.array(asked))
+    got, got_low = found.evidence(u, w)
+    want = [(math.log(p1(a, b) / p0(a, b)), math.log(low1(b) / low0(b))) for t in asked for a, b in zip([None, *t.split()], t.split(), strict=False)]
+    assert np.allclose(got, [x for x, _ in want], atol=1e-4) and np.allclose(got_low, [x for _, x in want], atol=1e-4)
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(2)
     rows = [(i, words(rng, 40) + (" vile" if i % 3 == 0 else "") + " " + words(rng, 40), int(i % 3 == 0)) for i in range(300)]
