@@ -9,15 +9,16 @@ Each text gets `BANDS` x `ROWS` consistent weighted samples (Ioffe 2010). Two te
 agree, which happens with the weighted Jaccard similarity to the power ROWS: at 0.8 some band agrees with probability
 0.998. Pairs are verified by the weighted Jaccard similarity of the whole texts, after two tests that pairs of 0.8 pass:
 that of their total weights (always), and that of `BITS` bits of 64 samples, of which at least 64 - `DIFFERENT` must
-agree (with probability 0.9999). Both are tested within the join, so other pairs are never written.
+agree (with probability 0.9999). Both are tested within the join, so other pairs are never written. The second only
+chooses what is verified first.
 
-In each bucket, its least text (the leader) meets all others. Buckets whose texts are then still in several groups go on
-in rounds: in one of up to `EVERY` texts, all texts meet that are in different groups; in a larger one, all meet its
-text with the most links, and then it is split by `FURTHER` more samples, which it draws by its key. So no bucket is
-capped, a text meets a bounded number of others in each round, and buckets end when their texts are in one group or
-they are small enough to be compared throughout. What is lost are links between two texts of a large bucket that a
-split parts in all their bands and that have no other link to the same group; the tests measure this on a group of
-edited copies. Groups are the connected components of verified links; a group's name is the least doc_id in it.
+In each bucket, its least text (the leader) meets all others. Of buckets whose texts are then still in several groups,
+those of more than `EVERY` texts meet the text with the most links too, which joins most of a large group at little cost.
+What is left is compared throughout: a bucket still in several groups is dealt into blocks of about `BLOCK` texts, and
+each two blocks (and each one with itself) meet in a task, which compares all their texts of different groups on whole
+shingles, without the test of sampled bits. So nothing is capped, and no link between two texts that share a bucket is
+lost: at the end they are in one group. That costs time with the square of such a bucket, dealt over tasks. Groups are the
+connected components of verified links; a group's name is the least doc_id in it.
 
 Equal texts are one text from the start; only one row of them is compared.
 
@@ -53,8 +54,10 @@ _PARTS = 32
 ROWS, BANDS = 5, 16
 #: Bits of a sample that are compared first, and of 64 samples, those that may differ in them.
 BITS, DIFFERENT = 4, 24
-#: Buckets of up to so many texts are compared throughout; larger ones are split by so many more samples.
-EVERY, FURTHER = 64, 12
+#: Buckets of more texts meet their text with the most links before they are compared throughout.
+EVERY = 64
+#: Texts of a block, about, and their total weight (about a megabyte).
+BLOCK, WEIGHT = 256, 200_000
 _SKETCH = [f"s{i}" for i in range(BITS)]
 #: Ids and pairs are broadcast to their texts up to this many (32 bytes each); beyond, they are joined by shuffle.
 MAX_BROADCAST_PAIRS = 1_000_000
@@ -266,47 +269,146 @@ def _pairs(met: DataFrame) -> DataFrame:
     return possible.select(F.least("tid", "leader.tid").alias("a"), F.greatest("tid", "leader.tid").alias("b")).distinct()
 
 
-def _split() -> Column:
-    """A bucket's key with the bits of FURTHER samples, the same ones for all its texts."""
-    mask = F.lit(0).cast("long")
-    for i in range(FURTHER):
-        mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key, {i}), 64) AS int))"))
-    return F.xxhash64("key", *(F.col(c).bitwiseAND(mask) for c in _SKETCH))
+def linked(h: np.ndarray, w: np.ndarray, first: np.ndarray, label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Similar pairs of texts with different labels, as many as it takes to join all that such pairs join.
+
+    All texts are compared, or where there are two sides, those of one with those of the other. No text is empty.
+    """
+    label = label.copy()
+    total = np.add.reduceat(w, first[:-1])
+    _, ids = np.unique(h, return_inverse=True)
+    dense = np.zeros(len(h))
+    here, there = np.flatnonzero(side == 0), np.flatnonzero(side)
+    found = []
+    for k, a in enumerate(here):
+        others = there if len(there) else here[k + 1 :]
+        others = others[label[others] != label[a]]
+        others = others[np.minimum(total[others], total[a]) >= (SIMILARITY - 1e-9) * np.maximum(total[others], total[a])]
+        if not len(others):
+            continue
+        sizes = first[others + 1] - first[others]
+        starts = np.cumsum(sizes) - sizes
+        at = np.repeat(first[others] - starts, sizes) + np.arange(int(sizes.sum()))
+        own = slice(first[a], first[a + 1])
+        dense[ids[own]] = w[own]
+        low = np.add.reduceat(np.minimum(dense[ids[at]], w[at]), starts)
+        dense[ids[own]] = 0
+        for b in others[low / (total[a] + total[others] - low) >= SIMILARITY - 1e-12]:
+            if label[b] != label[a]:
+                found.append((int(a), int(b)))
+                label[label == label[b]] = label[a]
+    return found
+
+
+def _whole(batches: Iterator[pa.RecordBatch], names: list[str], limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows, cut between different values of names into batches of about limit bytes of text (or one value), and where values begin."""
+    tail = None
+    for last, batch in _with_last(batches):
+        rows = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+        keys = [rows.column(n).to_numpy() for n in names]
+        opens = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        ends = np.append(opens[1:], rows.num_rows) if last else opens[1:]
+        upto = np.append(0, np.cumsum(np.diff(B.buffers(rows.column("text"))[0])))
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(upto[ends], upto[opens[i]] + limit, "right")))
+            yield rows.slice(opens[i], ends[j - 1] - opens[i]), np.append(opens[i:j], ends[j - 1]) - opens[i]
+            i = j
+        tail = rows.slice(opens[-1])
+
+
+def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Batches that have rows, each with whether it is the last."""
+    before = None
+    for batch in batches:
+        if batch.num_rows:
+            if before is not None:
+                yield False, before
+            before = batch
+    if before is not None:
+        yield True, before
+
+
+def _compared(shared: Broadcast):
+    """Of rows (key, i, j, side, tid, root, text) sorted by key, i and j: the links found within each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, opens in _whole(batches, ["key", "i", "j"], _SLICE):
+            bags = []
+            for part in B.slices([rows], "text", _SLICE):
+                h, n, first = _bags(*B.buffers(part.column("text")))
+                bags.append((h, shared.value.of(h, n), np.diff(first)))
+            h, w, sizes = (np.concatenate(x) for x in zip(*bags, strict=True))
+            first = np.append(0, np.cumsum(sizes))
+            label = rows.column("root").dictionary_encode().indices.to_numpy()
+            side = rows.column("side").to_numpy()
+            pairs = []
+            for i, j in zip(opens[:-1], opens[1:], strict=True):
+                own = slice(first[i], first[j])
+                pairs += [(a + i, b + i) for a, b in linked(h[own], w[own], first[i : j + 1] - first[i], label[i:j], side[i:j])]
+            a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([rows.column("tid").take(pa.array(a)), rows.column("tid").take(pa.array(b))], ["a", "b"])
+
+    return run
+
+
+def _live(rest: DataFrame, found: DataFrame) -> tuple[DataFrame, list[str]]:
+    """rest (key, tid, size, sketch) with root, n and parts, of buckets whose texts are in several groups; of buckets of the same texts, one."""
+    named = rest.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    named, named_at = cut(named, "named")
+    # a text stands once in a bucket, so one of several texts in one group has other roots or is done
+    of_key = named.groupBy("key").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("y")
+    )
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("int").alias("parts")
+    one = of_key.where("least <> most").groupBy("n", "x", "y").agg(F.min(F.struct("key", parts)).alias("one"))
+    apart, apart_at = cut(one.select("one.key", "n", "one.parts"), "apart")
+    live, live_at = cut(named.join(_few(apart)(apart), "key"), "live")
+    return live, [named_at, apart_at, live_at]
+
+
+def _met_throughout(live: DataFrame, texts: DataFrame, shared: Broadcast) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) between the texts of each bucket, block by block, as many as it takes to join all that are similar."""
+    own = F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")
+    dealt = live.select("key", "tid", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    i = F.least("own", "other")
+    dealt = dealt.select("key", i.alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") != i).cast("int").alias("side"), "tid", "root")
+    ids, ids_at = cut(live.select("tid").distinct(), "live-ids")
+    rows = dealt.join(texts.join(_few(ids)(ids), "tid", "left_semi"), "tid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links, links_at = cut(rows.select("key", "i", "j", "side", "tid", "root", "text").mapInArrow(_compared(shared), "a binary, b binary"), "throughout")
+    return links, [ids_at, links_at]
 
 
 def _closed(rest: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, shared: Broadcast) -> tuple[DataFrame, list[str]]:
-    """(node, root) of the links and of those found between texts that met, given the rows (key, tid, size, sketch) of those that have not led a bucket."""
-    spark = rest.sparkSession
-    found, paths = components(links), []
-    while True:
-        named = rest.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        # a text stands once in a bucket, so one of several texts in one group has other roots or is done
-        apart = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most").select("key", "n")
-        live, live_at = cut(named.join(apart, "key"), "live")
-        paths.append(live_at)
-        if live.isEmpty():
-            break
+    """(node, root) of the links and of those found between texts that met, given the rows (key, tid, size, sketch) of all buckets."""
+    found = components(links)
+    live, paths = _live(rest, found)
+    large = live.where(F.col("n") > EVERY)
+    if not large.isEmpty():
         ends = links.select(F.col("a").alias("tid")).unionByName(links.select(F.col("b").alias("tid")))
-        large = live.where(F.col("n") > EVERY).join(ends.groupBy("tid").agg(F.count("*").alias("degree")), "tid", "left")
-        best = large.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "tid", "size", *_SKETCH, "root")).alias("leader"))
-        leaders = best.select("key", F.struct(*(f"leader.{c}" for c in ("tid", "size", *_SKETCH, "root"))).alias("leader"))
-        leaders = leaders.unionByName(live.where(F.col("n") <= EVERY).select("key", F.struct("tid", "size", *_SKETCH, "root").alias("leader")))
-        leaders, leaders_at = cut(leaders, "leaders")
-        pairs = _pairs(live.join(leaders, "key").where("root <> leader.root")).join(tried, ["a", "b"], "left_anti")
+        ranked = large.join(ends.groupBy("tid").agg(F.count("*").alias("degree")), "tid", "left")
+        best = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "tid", "size", *_SKETCH, "root")).alias("leader"))
+        leaders, leaders_at = cut(best.select("key", F.struct(*(f"leader.{c}" for c in ("tid", "size", *_SKETCH, "root"))).alias("leader")), "leaders")
+        pairs = _pairs(large.join(_few(leaders)(leaders), "key").where("root <> leader.root")).join(tried, ["a", "b"], "left_anti")
         pairs, pairs_at = cut(pairs, "pairs")
-        paths += [leaders_at, pairs_at]
-        if not pairs.isEmpty():
-            new, new_at = _similar(pairs, texts, shared)
-            paths += new_at
-            tried = tried.unionByName(pairs)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
-        rest = live.where(F.col("n") > EVERY).select(_split().alias("key"), "tid", "size", *_SKETCH)
-        release(spark)
+        new, new_at = _similar(pairs, texts, shared)
+        found = _joined(found, new)
+        live, live_at = _live(live.drop("root", "n", "parts"), found)
+        paths += [leaders_at, pairs_at, *new_at, *live_at]
+        release(rest.sparkSession)
+    if not live.isEmpty():
+        new, new_at = _met_throughout(live, texts, shared)
+        found = _joined(found, new)
+        paths += new_at
+        release(rest.sparkSession)
     return found, paths
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, root) with the groups joined that links join."""
+    return found if links.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def text_id(text: Column) -> Column:
     """What stands for a text: 16 bytes of its MD5."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
@@ -327,7 +429,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     release(spark)
     plain, plain_at = cut(texts.select("tid", "text").join(_few(ids)(ids), "tid", "left_semi"), "compared")
     links, links_at = _similar(star, plain, shared)
-    final, paths = _closed(met.where("tid <> leader.tid").drop("leader"), links, star, plain, shared)
+    final, paths = _closed(met.drop("leader"), links, star, plain, shared)
     drop(spark, signed_at, met_at, star_at, ids_at, plain_at, *links_at, *paths)
     named = texts.select("tid", "first_id").join(final, texts.tid == final.node, "left").select("tid", "first_id", F.coalesce("root", "tid").alias("root"))
     least = named.where("tid <> root").groupBy("root").agg(F.min("first_id").alias("least"))

@@ -112,6 +112,49 @@ def test_links_of_near_duplicates_are_found(spark):
     assert all(root(i) == root(got[i]) for i in bags) and all(got[i] == i for i, _ in rows[480:])
 
 
+def test_links_in_large_buckets_are_found(spark, monkeypatch):
+    """Twins among many texts of one origin, which share buckets but are not similar: each link is within one bucket of over EVERY texts."""
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)  # buckets take several blocks
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(800)]
+    rows = []
+    for g in range(80):
+        places = rng.sample(range(5, 795, 6), 20)
+        for side in (0, 1):
+            edited = list(base)
+            for k, p in enumerate(places):
+                if k < 4 or k % 2 == side:
+                    edited[p] = f"e{g}x{p}x{side if k >= 4 else 2}"
+            rows.append((2 * g + side, " ".join(edited)))
+    bags = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows]
+    links = [(i, j) for i in range(160) for j in range(i) if len(bags[i] & bags[j]) >= neardup.SIMILARITY * len(bags[i] | bags[j])]
+    assert links == [(2 * g + 1, 2 * g) for g in range(80)]
+    rows += [(1000 + i, f"other text {i}") for i in range(8200)]
+    got = {r.doc_id: r.class_id for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[j] for i, j in links) >= 79 and all(got[i] in (i, i - i % 2) for i in range(160))
+
+
+def test_blocks_join_all_that_similar_texts_join():
+    rng = random.Random(22)
+    for t in range(60):
+        made = [" ".join(f"w{rng.randrange(3) if rng.random() < 0.1 else k}" for k in range(rng.randrange(5, 60))) for _ in range(rng.randrange(2, 30))]
+        h, n, first = neardup._bags(*_buffers(pa.array(made)))
+        side = np.array([rng.randrange(2) if t % 2 else 0 for _ in made])
+        side[0] = 0
+        label = np.array([rng.randrange(len(made)) for _ in made])
+        bag = lambda i: (h[first[i] : first[i + 1]], n[first[i] : first[i + 1]].astype(float))  # noqa: B023, E731
+        similar = [(i, j) for i in range(len(made)) for j in range(i) if (side[i] != side[j] or not side.any()) and neardup.jaccard(bag(i), bag(j)) >= neardup.SIMILARITY - 1e-12]
+
+        def groups(pairs):
+            name = label.copy()  # noqa: B023
+            for i, j in pairs:
+                name[name == name[i]] = name[j]
+            return {tuple(np.flatnonzero(name == x)) for x in name}
+
+        got = neardup.linked(h, n.astype(float), first, label, side)
+        assert groups(got) == groups(similar) and all((max(p), min(p)) in similar for p in got) and len(got) < len(made)
+
+
 def test_weights_are_those_of_counted_documents(spark):
     rng = random.Random(4)
     rows = [(f"{'the same five words here ' * (i % 3 == 0)}{words(rng, 20, 10**6)}",) for i in range(900)]
