@@ -46,8 +46,9 @@ GRAM = 32
 _WIDE = LENGTH - GRAM + 1
 #: The portions of a refining pass.
 PORTIONS = 8
-_SLICE = 1_500_000
-_HELD = 300_000
+#: Bytes of text that a task works on at once, and the anchors of a block, about: a worker holds some 70 MB of arrays.
+_SLICE = 500_000
+_HELD = 150_000
 _ROW = "k long, s long, doc long, at long"
 _ORDINARY, _SPREAD, _SUMMARY, _DONE = range(4)
 _EMPTY = np.zeros(0, np.int64)

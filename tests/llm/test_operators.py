@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -194,6 +195,18 @@ def test_refined_pointers_are_those_of_sorted_strings():
     assert len(suffixes.refined(np.zeros(0, np.uint8))) == 0
 
 
+def test_suffix_workers_hold_little():
+    rng = random.Random(14)
+    given = [pa.RecordBatch.from_arrays([pa.array(range(k * 1000, k * 1000 + 1000)), pa.array([words(rng, 300, 10**6) for _ in range(1000)])], ["doc", "text"]) for k in range(6)]
+    edges = [pa.RecordBatch.from_arrays([*b.columns, pa.array([[int(suffixes._pack(np.int64(0), np.int64(1500), 0))]] * 1000)], ["doc", "text", "ats"]) for b in given]
+    for step, batches in ((suffixes._dealt, given), (suffixes._sorted_edges, edges)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in step(iter(batches))) > 0
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6, (step, peak)
+
+
 def test_suffixes(spark, empty):
     rows = list(enumerate(texts()))
     rng = random.Random(12)
