@@ -113,9 +113,8 @@ def test_links_of_near_duplicates_are_found(spark):
     assert all(root(i) == root(got[i]) for i in bags) and all(got[i] == i for i, _ in rows[480:])
 
 
-def test_links_in_large_buckets_are_found(spark, monkeypatch):
-    """Twins among many texts of one origin, which share buckets but are not similar: each link is within one bucket of over EVERY texts."""
-    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)  # buckets take several blocks
+def twins():
+    """80 pairs of similar texts, (2 g, 2 g + 1), all of one origin and otherwise not similar, among so many others that no shingle is common."""
     rng = random.Random(21)
     base = [f"b{k}" for k in range(800)]
     rows = []
@@ -130,9 +129,22 @@ def test_links_in_large_buckets_are_found(spark, monkeypatch):
     bags = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows]
     links = [(i, j) for i in range(160) for j in range(i) if len(bags[i] & bags[j]) >= neardup.SIMILARITY * len(bags[i] | bags[j])]
     assert links == [(2 * g + 1, 2 * g) for g in range(80)]
-    rows += [(1000 + i, f"other text {i}") for i in range(8200)]
-    got = {r.doc_id: r.class_id for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] == got[j] for i, j in links) >= 79 and all(got[i] in (i, i - i % 2) for i in range(160))
+    return rows + [(1000 + i, f"other text {i}") for i in range(8200)]
+
+
+def test_links_in_large_buckets_are_found(spark, monkeypatch):
+    """Twins share buckets of over EVERY texts with others that they are not similar to."""
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)  # buckets take several blocks
+    got = {r.doc_id: r.class_id for r in neardup.grouped(spark.createDataFrame(twins(), "doc_id long, text string")).collect()}
+    assert sum(got[2 * g] == got[2 * g + 1] for g in range(80)) >= 79 and all(got[i] in (i, i - i % 2) for i in range(160))
+
+
+def test_pipeline_keeps_one_of_similar_texts_in_large_buckets(spark):
+    import corpus_pipeline
+
+    rows = twins()
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept >= {2 * g for g in range(80)} | {i for i, _ in rows[160:]} and len(kept) <= len(rows) - 79
 
 
 def test_blocks_join_all_that_similar_texts_join():
