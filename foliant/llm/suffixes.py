@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 from foliant.llm import _bytes as B
-from foliant.llm._cluster import NULL_ID, column, cut, drop, release, small_batches
+from foliant.llm._cluster import NULL_ID, column, cut, drop, fewer, give_back, release, small_batches
 
 LENGTH = 100
 GRAM = 32
@@ -317,12 +317,14 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     texts = _texts(docs, text, doc_id)
     order = ("k", "s", "doc", "at")
     anchors = texts.mapInArrow(_dealt, _ROW).repartition("k").sortWithinPartitions(*order)
-    marked, _ = cut(anchors.mapInArrow(_classified, "doc long, at long"), "anchors")
+    marked, _ = cut(fewer(anchors.mapInArrow(_classified, "doc long, at long")), "anchors")
     release(spark)
+    give_back(spark)
     edges = marked.where("at & 3 = 0").groupBy("doc").agg(F.collect_list("at").alias("ats"))
     strings = texts.where(F.octet_length("text") >= LENGTH).join(edges, "doc").mapInArrow(_sorted_edges, _ROW).repartition("k").sortWithinPartitions(*order)
-    found, _ = cut(strings.mapInArrow(_repeats, "doc long, at long"), "strings")
+    found, _ = cut(fewer(strings.mapInArrow(_repeats, "doc long, at long")), "strings")
     release(spark)
+    give_back(spark)
     return marked.where("at & 3 = 1").unionByName(found).groupBy("doc").agg(F.collect_list("at").alias("ats"))
 
 

@@ -219,6 +219,31 @@ def test_suffix_workers_hold_little():
         assert peak < 80e6, (step, peak)
 
 
+def test_suffixes_write_few_files_and_executors_shrink(spark, monkeypatch):
+    """Files start processes, and heaps keep their size: both are kept low, as an executor's memory is bounded."""
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cut, collectors = suffixes.cut, spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    files, collected = [], []
+
+    def counted(df, label):
+        out, path = cut(df, label)
+        files.append(len(out.inputFiles()))
+        return out, path
+
+    monkeypatch.setattr(suffixes, "cut", counted)
+    monkeypatch.setattr(suffixes, "release", lambda spark: collected.append(sum(c.getCollectionCount() for c in collectors())))
+    try:
+        rows = [(i, "the same passage " * 20 + t) for i, t in enumerate("abcdef" * 20)]
+        suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) == 2 and max(files) <= 16
+    n = spark.sparkContext.defaultParallelism
+    assert sum(c.getCollectionCount() for c in collectors()) >= collected[-1] + n
+
+
 def test_suffixes(spark, empty):
     rows = list(enumerate(texts()))
     rng = random.Random(12)
