@@ -99,25 +99,37 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"\.pdf$", "")
 
 
-def _parts(text: Column) -> Column:
-    """All parts of a short text, with whether they begin it."""
-    at = lambda i: F.transform(F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.struct(F.substring(text, i, n).alias("part"), (i == 1).alias("begins")))
-    return F.when(F.length(text) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), at)))
+def _parts(text: Column, lengths: Column) -> Column:
+    """The distinct parts of a short text that have one of some lengths."""
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), at)))
+
+
+def _lengths(df: DataFrame, text: str) -> DataFrame:
+    """One row of the lengths that texts have; null and empty ones aside."""
+    return F.broadcast(df.where(F.length(text) > 0).agg(F.collect_set(F.length(text)).alias("lengths")))
 
 
 def matched_documents(names: DataFrame, documents: DataFrame) -> DataFrame:
     """(name, document_id) of names that match one document: by the name itself, else the start of its stem, else a part of it, either way.
 
-    File names are short, so their parts are spelt out, and all joins have an equality.
+    File names are short, so their parts are spelt out, those of a length that can match, and all joins have an equality. Documents
+    are counted by part before they are joined, so a part that many share is a row. Both sides of a join grow with the input, and
+    spelt-out rows are many more than Spark reckons with, so none is broadcast.
     """
     own = names.select("name").distinct().select("name", F.lower("name").alias("low"), stem(F.col("name")).alias("own")).where("own <> ''")
     docs = documents.select("document_id", F.lower("filename").alias("file"), stem(F.col("filename")).alias("stem"))
-    same = own.join(docs, own.low == docs.file).select("name", "document_id", F.lit(0).alias("stage"))
-    stage = F.when(F.col("begins"), 1).otherwise(2).alias("stage")
-    in_doc = docs.select("document_id", F.inline(_parts(F.col("stem")))).join(own.select("name", F.col("own").alias("part")), "part").select("name", "document_id", stage)
-    in_name = own.select("name", F.inline(_parts(F.col("own")))).join(docs.select("document_id", F.col("stem").alias("part")), "part").select("name", "document_id", stage)
-    near = same.unionByName(in_doc).unionByName(in_name).groupBy("name", "document_id").agg(F.min("stage").alias("stage"))
-    best = near.groupBy("name", "stage").agg(F.count("*").alias("n"), F.min("document_id").alias("document_id"))
+    counted = [F.count("*").alias("n"), F.min("document_id").alias("document_id")]
+    stage = lambda whole: F.when(F.startswith(whole, F.col("part")), 1).otherwise(2).alias("stage")
+    files, stems = docs.groupBy("file").agg(*counted), docs.groupBy(F.col("stem").alias("part")).agg(*counted)
+    same = own.join(files.hint("merge"), own.low == files.file).select("name", F.lit(0).alias("stage"), "n", "document_id")
+    in_doc = docs.join(_lengths(own, "own")).select("document_id", "stem", F.explode(_parts(F.col("stem"), F.col("lengths"))).alias("part"))
+    in_doc = in_doc.groupBy("part", stage(F.col("stem"))).agg(*counted)
+    in_doc = own.select("name", F.col("own").alias("part")).join(in_doc.hint("merge"), "part").select("name", "stage", "n", "document_id")
+    # a whole name is among the documents' parts already
+    in_name = own.join(_lengths(docs, "stem")).select("name", "own", F.explode(_parts(F.col("own"), F.col("lengths"))).alias("part")).where("part <> own")
+    in_name = in_name.join(stems.hint("merge"), "part").select("name", stage(F.col("own")), "n", "document_id")
+    best = same.unionByName(in_doc).unionByName(in_name).groupBy("name", "stage").agg(F.sum("n").alias("n"), F.min("document_id").alias("document_id"))
     first = best.groupBy("name").agg(F.min(F.struct("stage", "n", "document_id")).alias("b"))
     return first.where("b.stage = 0 OR b.n = 1").select("name", "b.document_id")
 
@@ -126,7 +138,7 @@ def scope(messages: DataFrame, documents: DataFrame) -> DataFrame:
     """messages (message_id, text) with the document that their first file name means, or the name if it means none."""
     named = messages.withColumn("name", F.nullif(F.regexp_extract("text", FILE_NAME, 1), F.lit("")))
     found = matched_documents(named.where("name IS NOT NULL").select("name"), documents)
-    return named.join(found, "name", "left").select("message_id", "document_id", F.when(F.col("document_id").isNull(), F.col("name")).alias("unknown_name"))
+    return named.join(found.hint("merge"), "name", "left").select("message_id", "document_id", F.when(F.col("document_id").isNull(), F.col("name")).alias("unknown_name"))
 
 
 def routed(messages: DataFrame, documents: DataFrame, rules: list[tuple[str, str]] = ()) -> DataFrame:

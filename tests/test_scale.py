@@ -1,10 +1,11 @@
 """Steps that must not grow faster than their input, held against naive models, and their plans."""
 
 import math
+import random
 import re
 import zlib
 
-from foliant.operators import search
+from foliant.operators import routing, search
 
 
 def _plan(df) -> str:
@@ -26,3 +27,26 @@ def test_hashed_vectors_need_no_shuffle(spark):
     found = {r.chunk_id: r.embedding for r in got.collect()}
     assert found.keys() == {1, 2, 3, None}
     assert all(abs(x - y) < 1e-6 for i, t in rows for x, y in zip(found[i], _naive_vector(t, 16), strict=True))
+
+
+def test_names_are_matched_as_pair_by_pair(spark):
+    """Against all pairs, and with no table of names broadcast."""
+    rng = random.Random(4)
+    files = sorted({"".join(rng.choice("ab_") for _ in range(rng.randrange(1, 7))) + rng.choice([".pdf", ".PDF", ""]) for _ in range(60)}) + [None]
+    asked = sorted({"".join(rng.choice("abA_") for _ in range(rng.randrange(0, 9))) + ".pdf" for _ in range(150)})
+    docs = spark.createDataFrame(list(enumerate(files)), "document_id long, filename string")
+    got = routing.matched_documents(spark.createDataFrame([(x,) for x in asked * 2], "name string"), docs)
+    # only the single rows of lengths are broadcast
+    assert _plan(got).count("BroadcastExchange") == _plan(got).count("BroadcastNestedLoopJoin") == 2
+    bare = lambda x: re.sub(r"\.pdf$", "", x.lower())
+    want = {}
+    for name in asked:
+        own, stages = bare(name), {}
+        for i, file in enumerate(files[:-1] if own else []):
+            a = bare(file)
+            if own in a or (a and a in own):
+                kind = 0 if file.lower() == name.lower() else 1 if a.startswith(own) or own.startswith(a) else 2
+                stages.setdefault(kind, []).append(i)
+        if stages and (min(stages) == 0 or len(stages[min(stages)]) == 1):
+            want[name] = min(stages[min(stages)])
+    assert {r.name: r.document_id for r in got.collect()} == want and len(want) > 20
