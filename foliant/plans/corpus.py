@@ -12,7 +12,7 @@ from foliant.config import DEFAULT
 from foliant.functions import text as T
 from foliant.functions.stems import index_forms
 from foliant.operators import chunking, ingest, layout, records, routing, search
-from foliant.plans.registry import _QUERY_TERMS, _STRIPPED, _TERMS, _TURNS, _WORDS, K, _bm25_sql, _chunks, _legs, _lexical, _query, _register, _table
+from foliant.plans.registry import _QUERY_TERMS, _STRIPPED, _TERMS, _TURNS, _WORDS, K, _bm25_sql, _chunks, _hits, _legs, _query, _register, _table
 from foliant.sources import files
 
 
@@ -255,7 +255,7 @@ _register("reembed_stale", "embeddings", lambda df: search.stale(df.select("vec_
 def _bm25_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("document_id"))
     held = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "en").alias("document_id"))
-    return search.on_document(_lexical(spark, sf_dir, 3 * K), chunks, held, K)
+    return search.on_document(_hits(spark, sf_dir, 3 * K), chunks, held, K)
 
 
 _COSINE = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6)"
@@ -290,7 +290,7 @@ _ASKED_TERMS = _QUERY_TERMS.replace("coalesce(text, '')", "coalesce(q, '')")
     SELECT query_id, pos, chunk_id, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS pos FROM s) WHERE pos <= {K}""",
 )
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _lexical(spark, sf_dir, 2 * K).withColumnRenamed("rank", "pos").join(_chunks(spark, sf_dir), "chunk_id").join(_benchmark(spark, sf_dir), "query_id")
+    hits = _hits(spark, sf_dir, 2 * K).withColumnRenamed("rank", "pos").join(_chunks(spark, sf_dir), "chunk_id").join(_benchmark(spark, sf_dir), "query_id")
     return search.reranked(hits, K)
 
 
@@ -313,7 +313,7 @@ _register("result_metadata", "events", lambda df: df.select("event_id", F.from_j
 @_query("source_list", f"WITH {_bm25_sql(K)} SELECT query_id, min(rank) AS pos, source AS citation, arg_min(lang, rank) AS chunk_type FROM lexical JOIN documents ON chunk_id = doc_id GROUP BY query_id, source")
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("citation"), F.col("lang").alias("chunk_type"))
-    return records.distinct_sources(_lexical(spark, sf_dir, K).withColumnRenamed("rank", "pos").join(own, "chunk_id"))
+    return records.distinct_sources(_hits(spark, sf_dir, K).withColumnRenamed("rank", "pos").join(own, "chunk_id"))
 
 
 _register(
@@ -483,7 +483,7 @@ def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "WEB").alias("expected"), F.when(F.col("item_id") % 5 > 0, F.array(F.substring("text", 1, 20), F.lit("E"))).alias("subs"))
     items = items.where(records.has_signal(F.when(F.col("query_id") % 5 > 0, F.col("expected")), F.col("subs")))
     own = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
-    hits = _lexical(spark, sf_dir, K).join(items, "query_id").join(own, "chunk_id")
+    hits = _hits(spark, sf_dir, K).join(own, "chunk_id").join(items, "query_id")
     return hits.select("query_id", "chunk_id", records.relevant(F.col("source"), F.col("text"), F.col("expected"), F.col("subs")).alias("relevant"))
 
 

@@ -109,6 +109,11 @@ def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return search.bm25(_chunks(spark, sf_dir), _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k)
 
 
+def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The lexical hits, to be joined with documents."""
+    return search.light(_lexical(spark, sf_dir, k), _table(spark, sf_dir, "benchmark"), k)
+
+
 def _dense(spark: SparkSession, sf_dir: str, k: int, queries: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     asked = vectors.where(queries.replace("vec_id", "chunk_id")).withColumnRenamed("chunk_id", "query_id")
@@ -175,7 +180,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("dedup_greedy")
 def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _lexical(spark, sf_dir, 2 * DEFAULT.top_k).withColumnRenamed("rank", "pos").join(_chunks(spark, sf_dir), "chunk_id")
+    hits = _hits(spark, sf_dir, 2 * DEFAULT.top_k).withColumnRenamed("rank", "pos").join(_chunks(spark, sf_dir), "chunk_id")
     return search.distinct_hits(hits).select("query_id", "pos", "chunk_id")
 
 
@@ -190,7 +195,7 @@ def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM o WHERE (n_over = 0) OR (n_over = 1 AND cost > room AND room >= 200)""",
 )
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _lexical(spark, sf_dir, K).join(_chunks(spark, sf_dir), "chunk_id")
+    hits = _hits(spark, sf_dir, K).join(_chunks(spark, sf_dir), "chunk_id")
     header = records.citation(records.filename(F.col("chunk_id")), F.lit(1), F.lit(None).cast("string"))
     return search.packed_context(hits.select("query_id", F.col("rank").alias("pos"), header.alias("header"), "text"))
 
@@ -204,7 +209,7 @@ s AS (SELECT query_id, sum(relevant::INT) > 0 AS hit, round(sum(relevant::INT)::
 @_query("eval_scores", f"{_SCORES_SQL} SELECT * FROM s")
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("passage"))
-    hits = _lexical(spark, sf_dir, K).join(_chunks(spark, sf_dir), "chunk_id").join(items, "query_id")
+    hits = _hits(spark, sf_dir, K).join(_chunks(spark, sf_dir), "chunk_id").join(items, "query_id")
     return records.scores(hits.select("query_id", "rank", F.contains(F.lower("text"), F.col("passage")).alias("relevant")))
 
 

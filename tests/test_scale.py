@@ -50,3 +50,44 @@ def test_names_are_matched_as_pair_by_pair(spark):
         if stages and (min(stages) == 0 or len(stages[min(stages)]) == 1):
             want[name] = min(stages[min(stages)])
     assert {r.name: r.document_id for r in got.collect()} == want and len(want) > 20
+
+
+def test_bm25_in_place_is_that_of_joins(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randrange(40)))) for i in range(700)] + [(-1, None), (-2, "w1 w2"), (-3, "w1 w2")]
+    asked = [("a", "w1 w2 w2 the"), ("b", "w3"), (None, "w4 w5"), ("none", "zebra"), ("empty", ""), ("a", "w7")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    got = search.bm25(chunks, queries, 5)
+    assert _plan(got).count("explode") == 0  # texts' terms are not rows
+    monkeypatch.setattr(search, "MAX_BAG", 3)
+    want = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in search.bm25(chunks, queries, 5).collect()}
+    assert {(r.query_id, r.rank): (r.chunk_id, r.score) for r in got.collect()} == want and len(want) == 15
+
+
+def test_cosine_in_cells_is_that_of_all_pairs(spark):
+    """With ties, and vectors without numbers or of another length, which come last without a score."""
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([-0.5, 0.25, 0.5]) for _ in range(4)]) for i in range(300)] + [(900, None), (901, [1.0]), (902, [0.5, None, 0.5, 0.5])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    asked = [(f"q{i}", v) for i, v in rows[:40]] + [("null", None), ("short", [1.0])]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<float>")
+    # a null score is last
+    score = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6) if a and b and len(a) == len(b) and None not in [*a, *b] else None
+    for k, vs in ((5, rows), (10, rows[-6:])):
+        got = search.cosine(vectors.where(f"chunk_id >= {vs[0][0]}"), queries, k, block=16, pairs=1000)
+        want = {}
+        for q, a in asked:
+            found = sorted(((score(a, b), i) for i, b in vs), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+            want |= {(q, n): (i, s) for n, (s, i) in enumerate(found[:k], 1)}
+        assert {(r.query_id, r.rank): (r.chunk_id, r.score) for r in got.collect()} == want
+    assert "collect_list" not in _plan(got) and "zip_with" not in _plan(got)
+
+
+def test_hits_are_broadcast_to_texts(spark):
+    from foliant.plans import corpus, registry  # noqa: F401 (corpus registers its queries)
+
+    for name in ("context_pack", "eval_scores", "rerank", "source_list", "eval_relevance", "bm25_search_doc"):
+        first = next(x for x in _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines()[::-1] if "Join" in x and "chunk_id" in x)
+        assert "BroadcastHashJoin" in first, name
