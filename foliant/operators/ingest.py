@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.config import DEFAULT
 from foliant.functions import text as T
+from foliant.functions.batches import slices, small_batches
 
 SENTENCE = regex.compile(r"(?<=[.!?…])\s+")
 
@@ -109,17 +110,18 @@ def sentence_chunks(text: str | None, max_words: int = DEFAULT.max_words, overla
 
 
 def _exploded(docs: DataFrame, make: Callable[[str | None], list[tuple]], fields: list[tuple[str, str]]) -> DataFrame:
-    """A row (doc_id, number, fields) for each piece of each text."""
+    """A row (doc_id, number, fields) for each piece of each text, some texts at a time."""
     types = {"string": pa.string(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 32):
             made = [make(t) for t in b.column("text").to_pylist()]
             owner = pa.array([i for i, m in enumerate(made) for _ in m], pa.int64())
             number = pa.array([k for m in made for k in range(len(m))], pa.int32())
             cols = [pa.array([piece[j] for m in made for piece in m], types[t]) for j, (_, t) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(owner), number, *cols], ["doc_id", "number", *(n for n, _ in fields)])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, number int, " + ", ".join(f"{n} {t}" for n, t in fields))
 
