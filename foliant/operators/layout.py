@@ -97,14 +97,23 @@ def _cell(cell: Column) -> Column:
     return F.replace(F.replace(T.stripped(cell), F.lit("\n"), F.lit("<br>")), F.lit("|"), F.lit("&#124;"))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def markdown(grid: Column) -> Column:
     """A grid as a table: the first row is the header, which other rows are padded or cut to."""
-    cols = F.size(grid[0])
-    fitted = lambda row: F.slice(F.concat(F.transform(row, _cell), F.array_repeat(F.lit(""), F.greatest(cols - F.size(row), F.lit(0)))), F.lit(1), cols)
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    rows = F.transform(grid, lambda row: line(fitted(row)))
-    header = F.concat(F.slice(rows, 1, 1), F.array(line(F.array_repeat(F.lit("---"), cols))))
-    return F.when(F.coalesce(F.size(F.get(grid, 0)), F.lit(0)) > 0, F.array_join(F.concat(header, F.slice(rows, F.lit(2), F.greatest(F.size(grid) - 1, F.lit(0)))), "\n")).otherwise("")
+
+    def table(g: Column, cols: Column) -> Column:
+        fitted = lambda row: F.slice(F.concat(F.transform(row, _cell), F.array_repeat(F.lit(""), F.greatest(cols - F.size(row), F.lit(0)))), F.lit(1), cols)
+        rows = F.transform(g, lambda row: line(fitted(row)))
+        rule = F.array(line(F.array_repeat(F.lit("---"), cols)))
+        whole = _bound(rows, lambda r: F.array_join(F.concat(F.slice(r, 1, 1), rule, F.slice(r, F.lit(2), F.greatest(F.size(g) - 1, F.lit(0)))), "\n"))
+        return F.when(F.coalesce(cols, F.lit(0)) > 0, whole).otherwise("")
+
+    return _bound(grid, lambda g: _bound(F.size(F.get(g, 0)), lambda cols: table(g, cols)))
 
 
 def valid_grid(grid: Column) -> Column:
