@@ -5,7 +5,11 @@ import random
 import re
 import zlib
 
-from foliant.operators import routing, search
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from foliant.functions import batches
+from foliant.operators import ingest, layout, routing, search
 
 
 def _plan(df) -> str:
@@ -91,3 +95,47 @@ def test_hits_are_broadcast_to_texts(spark):
     for name in ("context_pack", "eval_scores", "rerank", "source_list", "eval_relevance", "bm25_search_doc"):
         first = next(x for x in _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines()[::-1] if "Join" in x and "chunk_id" in x)
         assert "BroadcastHashJoin" in first, name
+
+
+def test_a_grid_is_worked_out_once(spark):
+    df = spark.createDataFrame([(1, ["a", " b\n"]), (2, [])], "id long, cells array<string>")
+    made = df.select("id", layout.markdown(F.when(F.size("cells") > 0, F.array(F.array(F.lit("onlyhere")), F.col("cells"))).otherwise(F.array().cast("array<array<string>>"))).alias("m"))
+    assert _plan(made).count("onlyhere") <= 2  # the plan's tree and its details
+    assert [r.m for r in made.orderBy("id").collect()] == ["| onlyhere |\n| --- |\n| a |", ""]
+
+
+def test_texts_go_through_workers_some_at_a_time(spark):
+    batch = pa.RecordBatch.from_pydict({"x": list(range(70))})
+    assert [b.num_rows for b in batches.slices(iter([batch]), 32)] == [32, 32, 6]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    docs = spark.createDataFrame([(i, "one. two.") for i in range(200)], "doc_id long, text string").coalesce(1)
+    ingest.chunks(docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    # a batch of texts that a worker has made into pieces is no larger than a slice
+    made = ingest.chunks(docs).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    assert sum(r.n for r in made.collect()) == 200
+
+
+def test_postings_need_no_shuffle(spark):
+    rows = [(1, "b a b"), (2, None), (None, "a")]
+    got = search.postings(spark.createDataFrame(rows, "chunk_id long, text string"))
+    assert "Exchange" not in _plan(got)
+    assert {(r.chunk_id, r.term): r.tf for r in got.collect()} == {(1, "a"): 1, (1, "b"): 2, (None, "a"): 1}
+    twice = search.postings(spark.createDataFrame([*rows, (1, "b c")], "chunk_id long, text string"))
+    assert {(r.chunk_id, r.term): r.tf for r in twice.collect()} == {(1, "a"): 1, (1, "b"): 3, (1, "c"): 1, (None, "a"): 1}
+
+
+def test_similar_hits_go_in_order(spark):
+    rng = random.Random(9)
+    rows = [(q, pos, rng.randrange(99), rng.choice([None, "", " ".join(rng.choices("abcd", k=rng.randrange(1, 6)))])) for q in (None, 1, 2) for pos in range(1, 30)]
+    got = search.distinct_hits(spark.createDataFrame(rows, "query_id long, pos int, chunk_id long, text string"), 0.6)
+    assert "array_intersect" not in _plan(got)
+    want = []
+    for q in (None, 1, 2):
+        kept = []
+        for _, _, chunk, text in (r for r in rows if r[0] == q):
+            own = set((text or "").split())
+            if not any((t and text and (t in text or text in t)) or (w | own and len(w & own) >= 0.6 * len(w | own)) for t, w in kept):
+                kept.append((text, own))
+                want.append((q, len(kept), chunk, text))
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
