@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.config import DEFAULT
 from foliant.functions import text as T
+from foliant.functions.batches import slices, small_batches
 from foliant.operators import ingest
 
 # Blocks of these types are one chunk each.
@@ -91,7 +93,17 @@ def split(sentences: Iterable[list[str]], max_words: int, overlap: int, cuts: se
 _CHUNK = "document_id long, page_id long, block_id long, run_no long, chunk_index int, chunk_type string, start_word int, end_word int, text_content string, prefix_words int, chunk_method string, section_title string"
 
 
-def _run_chunks(rows: list, max_words: int, overlap: int, embed) -> Iterator[tuple]:
+class _Block(NamedTuple):
+    document_id: int
+    page_id: int | None
+    block_id: int
+    run_no: int
+    block_type: str
+    text_content: str | None
+    section_title: str | None
+
+
+def _run_chunks(rows: list[_Block], max_words: int, overlap: int, embed) -> Iterator[tuple]:
     """Chunks of one run's blocks in order; each block but the first begins with the last words of the one before."""
     tail: list[str] = []
     for r in rows:
@@ -102,9 +114,9 @@ def _run_chunks(rows: list, max_words: int, overlap: int, embed) -> Iterator[tup
         if r.block_type in ATOMIC:
             yield r.document_id, r.page_id, r.block_id, r.run_no, 0, r.block_type, 0, max(0, len(text.split()) - 1), text, 0, "atomic", r.section_title
             continue
-        said = [s for s in ingest.SENTENCE.split(" ".join([*tail, text]) if tail else text) if s.split()]
-        cuts = topic_cuts(embed(said)) if embed else frozenset()
-        chunks = split([s.split() for s in said], max_words, overlap, cuts)
+        said = [(s, ws) for s in ingest.SENTENCE.split(" ".join([*tail, text]) if tail else text) if (ws := s.split())]
+        cuts = topic_cuts(embed([s for s, _ in said])) if embed else frozenset()
+        chunks = split([ws for _, ws in said], max_words, overlap, cuts)
         for number, (words, start) in enumerate(chunks):
             first, last = (max(0, x - len(tail)) for x in (start, start + len(words) - 1))
             yield r.document_id, r.page_id, r.block_id, r.run_no, number, r.block_type, first, last, " ".join(words), len(tail), "semantic" if embed else "word_count", r.section_title
@@ -116,24 +128,27 @@ def chunked(blocks: DataFrame, max_words: int = DEFAULT.max_words, overlap: int
 
     embed(sentences) gives unit vectors, and makes topics end chunks too. Runs are dealt by document, and end at pages.
     """
-    names = [c.split()[0] for c in _CHUNK.split(", ")]
+    fields = [c.split() for c in _CHUNK.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    made = lambda held: pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*held, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator:
-            for frame in frames:
-                yield from frame.astype(object).where(frame.notna(), None).itertuples(index=False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[_Block]:
+            for part in slices(batches, 64):
+                yield from map(_Block, *(part.column(c).to_pylist() for c in _Block._fields))
 
         held: list[tuple] = []
         for _, own in groupby(rows(), key=lambda r: (r.document_id, r.run_no)):
             held += _run_chunks(list(own), max_words, overlap, embed)
             if len(held) >= 2000:
-                yield pd.DataFrame(held, columns=names)
+                yield made(held)
                 held = []
         if held:
-            yield pd.DataFrame(held, columns=names)
+            yield made(held)
 
+    small_batches(blocks.sparkSession)
     sorted_runs = runs(blocks).repartition("document_id", "run_no").sortWithinPartitions("document_id", "run_no", *reading_order(blocks))
-    return sorted_runs.mapInPandas(run, _CHUNK)
+    return sorted_runs.select(*_Block._fields).mapInArrow(run, _CHUNK)
 
 
 def inserted(store: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliant.functions import batches
-from foliant.operators import ingest, layout, routing, search
+from foliant.operators import chunking, ingest, layout, routing, search
 
 
 def _plan(df) -> str:
@@ -139,3 +139,14 @@ def test_similar_hits_go_in_order(spark):
                 kept.append((text, own))
                 want.append((q, len(kept), chunk, text))
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_sentence_vectors_are_the_naive_ones_and_runs_go_as_arrow(spark):
+    said = ["One two, two.", "Ünï çode", "", "..."]
+    for row, s in zip(search.sentence_vectors(said, 16), said, strict=True):
+        assert all(abs(x - y) < 1e-12 for x, y in zip(row, _naive_vector(s, 16), strict=True))
+    rows = [(1, None, 2, 0, "text", "a b. c d.", None), (1, None, 1, 0, "table", " t ", "s"), (1, 7, 3, 0, "text", None, "s")]
+    blocks = spark.createDataFrame(rows, "document_id long, page_id long, block_id long, block_index int, block_type string, text_content string, section_title string")
+    made = chunking.chunked(blocks, embed=search.sentence_vectors)
+    assert "MapInPandas" not in _plan(made)
+    assert sorted((r.block_id, r.page_id, r.text_content, r.section_title, r.chunk_method) for r in made.collect()) == [(1, None, "t", "s", "atomic"), (2, None, "a b. c d.", None, "semantic")]
